@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -225,7 +226,7 @@ def worker(path: str, pattern: str) -> tuple[MergeTable, Chunks]:
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of batches with a few million characters of text, or a single longer text."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch[column]).to_pylist()
+        sizes = pc.binary_length(batch[column]).to_pylist()
         start, size = 0, 0
         for i, n in enumerate(sizes):
             if size and size + n > chars:
