@@ -25,16 +25,18 @@ VARIABLE = r"[0-9@]|://"
 _LAST = 2**63 - 1
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(BLANKS)), WORD_SEPARATOR)
-
-
 def _lines(docs: DataFrame, min_tokens: int, leading: int) -> DataFrame:
     """owner, row, pos, leaf, template, codes of each line with enough tokens; codes: its masked tokens' hashes."""
-    lines = docs.select("owner", "row", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
-    # A masked line keeps its token count, for only characters of tokens are replaced.
-    masked = F.regexp_replace(F.btrim("line", F.lit(BLANKS)), r"[^\x20\x09-\x0D]*(?:" + VARIABLE + r")[^\x20\x09-\x0D]*", "<*>")
-    lines = lines.select("owner", "row", "pos", F.split(masked, WORD_SEPARATOR).alias("tokens")).filter(F.size("tokens") >= min_tokens)
+
+    # A masked line keeps its token count, for only characters of tokens are replaced. Most lines have nothing to mask.
+    def tokens(line: Column) -> Column:
+        plain = F.btrim(line, F.lit(BLANKS))
+        masked = F.regexp_replace(plain, r"[^\x20\x09-\x0D]*(?:" + VARIABLE + r")[^\x20\x09-\x0D]*", "<*>")
+        return F.split(F.when(plain.rlike(VARIABLE), masked).otherwise(plain), WORD_SEPARATOR)
+
+    # Split inside the generator: as a column, the filter would split every line a second time.
+    lines = docs.select("owner", "row", F.posexplode(F.transform(F.split("content", "\n", -1), tokens)).alias("pos", "tokens"))
+    lines = lines.filter(F.size("tokens") >= min_tokens)
     return lines.select(
         "owner",
         "row",
