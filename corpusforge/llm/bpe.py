@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import text_of
 
 #: Entries of a memo before it starts anew; longer chunks than MEMO_CHARS aren't kept.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 700_000
 MEMO_CHARS = 64
 #: Pieces of more bytes are contracted step by step in a table, which holds one state instead of all.
 LONG_PIECE = 64
@@ -32,6 +32,8 @@ PIECE_BATCH = 600_000
 DECODE_BATCH = 500_000
 
 _BESIDE_SPACE = re.compile(r"\s | \s")
+#: A chunk of letters, or of letters and one of these, needs no pattern: it is one piece, or two.
+_STOPS = [".", ",", ";", ":", "!", "?"]
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -61,6 +63,7 @@ class Chunks:
         self.encode_pieces = encode_pieces
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_SINGLE_SPACE.split(t) if _BESIDE_SPACE.search(t) else t.split(" ") for t in texts]
@@ -68,26 +71,38 @@ class Chunks:
             self.chunks = {}
         if len(self.pieces) > MEMO_ENTRIES:
             self.pieces = {}
-        known, fresh = self.chunks, {}
-        for chunks in split:
-            for c in set(chunks[1:]).difference(known):
-                fresh[c] = self.split(f" {c}")
+        known, late = self.chunks, {}
+        fresh = set().union(*(chunks[1:] for chunks in split)).difference(known)
         starts = [self.split(chunks[0]) for chunks in split]
-        self._learn([*fresh.values(), *starts])
+        words, stopped, others = [], [], {}
+        for c in fresh:
+            if c.isalpha():
+                words.append(c)
+            elif c[-1:] in _STOPS and c[:-1].isalpha():
+                stopped.append(c)
+            else:
+                others[c] = self.split(f" {c}")
         value = self.pieces.__getitem__
-        late = {}
-        for c, pieces in fresh.items():
+        self._learn([[f" {c}" for c in words], [f" {c[:-1]}" for c in stopped], _STOPS, *others.values(), *starts])
+        stops = {c: value(c) for c in _STOPS}
+        known.update((c, value(f" {c}")) for c in words if len(c) <= MEMO_CHARS)
+        late.update((c, value(f" {c}")) for c in words if len(c) > MEMO_CHARS)
+        for c in stopped:
+            (known if len(c) <= MEMO_CHARS else late)[c] = value(f" {c[:-1]}") + stops[c[-1]]
+        for c, pieces in others.items():
             (known if len(c) <= MEMO_CHARS else late)[c] = b"".join(map(value, pieces))
         if late:
             known = known | late
         encoded = [b"".join(map(value, start)) + b"".join(map(known.__getitem__, chunks[1:])) for start, chunks in zip(starts, split)]
-        for p in [p for p in self.pieces if len(p) > MEMO_CHARS]:
-            del self.pieces[p]
+        for p in self.long:
+            self.pieces.pop(p, None)
+        self.long = []
         return encoded
 
     def _learn(self, found: list[list[str]]) -> None:
-        new = list({p for pieces in found for p in pieces}.difference(self.pieces))
+        new = list(set().union(*found).difference(self.pieces))
         self.pieces.update(zip(new, self.encode_pieces(new)))
+        self.long += [p for p in new if len(p) > MEMO_CHARS]
 
 
 _STEP = """

@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -135,8 +136,10 @@ def _worker(path: str, pattern: str) -> Chunks:
         def encode_pieces(pieces: list[str]) -> list[bytes]:
             found = []
             for i in range(0, len(pieces), 20_000):
-                encoded = tokenizer.encode_batch(pieces[i : i + 20_000], add_special_tokens=False)
-                found += [struct.pack(f"<{len(e)}I", *e.ids) for e in encoded]
+                ids = [e.ids for e in tokenizer.encode_batch_fast(pieces[i : i + 20_000], add_special_tokens=False)]
+                data = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
+                ends = (np.cumsum([0, *map(len, ids)]) * 4).tolist()
+                found += [data[a:b] for a, b in zip(ends, ends[1:])]
             return found
 
         _workers[path, pattern] = Chunks(pattern, encode_pieces)
