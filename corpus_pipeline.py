@@ -46,7 +46,8 @@ STAGES = [
     ("byte_bpe", encode_tokens),
 ]
 
-#: SQL can express neither the network nor the fingerprints; tests/llm compares run() with a brute-force version.
+#: SQL can express neither the network nor the fingerprints. tests/llm runs the stages in turn and checks columns and rows;
+#: a brute-force comparison of whole results is still to be written.
 ORACLE_SQL = None
 
 
