@@ -4,10 +4,14 @@ Distinct fingerprints are dealt into cells by the bit counts of their blocks of
 lie in cells whose counts differ by no more than the radius in sum, so all other cell pairs are skipped; what is left
 is compared exactly, tile by tile, with exclusive-or and bit counts. A tile pair passes on a spanning forest of the
 links that it finds, never all pairs of a group.
+
+With a Jaccard similarity, candidates are the sets of shingles that share an element of their prefixes instead: no pair
+of that similarity is missed, and fingerprints link nothing.
 """
 
 from __future__ import annotations
 
+import math
 from functools import partial
 from itertools import product
 
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.bpe import blocks as text_blocks
-from corpusforge.llm.common import BLANKS, WORD_SEPARATOR, save, text_of
+from corpusforge.llm.common import save, text_of
 
 SHINGLE_WORDS = 5
 RADIUS = 12
@@ -28,11 +32,16 @@ HOME_TILE = 8192
 VISITOR_TILE = 32768
 #: Links held before they are cut down to a forest.
 LINKS = 1 << 20
+#: Comparisons with one set of all that share an element, if more sets do, before all pairs left are compared.
+HUB_ROUNDS, HUB_NODES = 2, 64
+#: Shingles found so often in a SAMPLED-th of the documents come last in the order of prefixes, at most FREQUENT.
+SAMPLED, SAMPLED_TIMES, FREQUENT = 16, 8, 1 << 16
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
-def _text_fingerprints(texts: list[str], shingle: int) -> np.ndarray:
+def _hashes(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of all texts, and how many each text has."""
     hashes: list[int] = []
     counts = []
     for text in texts:
@@ -46,11 +55,13 @@ def _text_fingerprints(texts: list[str], shingle: int) -> np.ndarray:
             found = [_hash(joined[i:j]) for i, j in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
         hashes += found
         counts.append(len(found))
-    result = np.zeros(len(texts), dtype="<u8")
-    sizes = np.array(counts)
+    return np.array(hashes, dtype="<u8"), np.array(counts, dtype=np.int64)
+
+
+def _majority(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    result = np.zeros(len(sizes), dtype="<u8")
     full = np.flatnonzero(sizes)
     if len(full):
-        values = np.array(hashes, dtype="<u8")
         ones = np.zeros((len(full), 64), dtype=np.int64)
         starts = np.cumsum(sizes[full]) - sizes[full]
         for k in range(8):  # a byte of the hashes at a time
@@ -71,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, text: str = "tex
 
     def run(batches):
         for part, texts in text_blocks(batches):
-            bits = _text_fingerprints(texts, shingle).view("<i8")
+            bits = _majority(*_hashes(texts, shingle)).view("<i8")
             yield pa.record_batch([part["doc_id"], pa.array(bits)], names=["doc_id", "fingerprint"])
 
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
@@ -219,46 +230,133 @@ def components(edges: DataFrame) -> DataFrame:
         edges = save(small.select("e.*").filter("u <> v").distinct(), "edges")
 
 
-def _shingle_sets(docs: DataFrame, shingle: int, text: str) -> DataFrame:
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.split(F.btrim(F.translate(text_of(text), upper, lower), F.lit(BLANKS)), WORD_SEPARATOR)
-    starts = F.expr(f"sequence(1, greatest(size(words) - {shingle - 1}, 1))")
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("words", i, shingle), " ")))
-    return docs.withColumn("words", words).withColumn("shingles", F.array_distinct(hashes)).drop("words")
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """row, shingles (sorted distinct hashes) of docs (row, text)."""
+
+    def run(batches):
+        for part, texts in text_blocks(batches):
+            values, sizes = _hashes(texts, shingle)
+            sets = [np.unique(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view("<i8")))
+            yield pa.record_batch([part["row"], shingles], names=["row", "shingles"])
+
+    return docs.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+
+
+def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that a sample of docs (row, text) has often; they only order the sets, so a sample loses no pair."""
+    sample = _sets(docs.filter(F.pmod("row", F.lit(SAMPLED)) == 0), shingle)
+    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.filter(F.col("n") >= SAMPLED_TIMES).orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
+    return np.sort(np.array([r.s for r in rows], dtype="<i8").view("<u8"))
 
 
-def _verified(edges: DataFrame, owners: DataFrame, docs: DataFrame, shingle: int, jaccard: float, text: str, doc_id: str) -> DataFrame:
-    """Those edges whose owners' shingle sets have at least this Jaccard similarity."""
-    edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct().join(owners, "fingerprint")
-    texts = docs.select(F.col(doc_id).cast("long").alias("owner"), F.col(text).alias("text")).join(ends, "owner")
-    sets = _shingle_sets(texts, shingle, "text").groupBy("fingerprint").agg(F.any_value("shingles").alias("shingles"))
-    sets = save(sets, "shingles")
-    pairs = edges.join(sets.withColumnsRenamed({"fingerprint": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"fingerprint": "b", "shingles": "y"}), "b")
+def _signatures(docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """row, doc_id, fingerprint, node, size, prefix of docs (row, doc_id, text).
+
+    node: a hash of the set of shingles; size: its elements. prefix: its first elements, rare ones first, so many that
+    two sets of this similarity share one of them.
+    """
+    frequent = _frequent(docs, shingle)
+
+    def run(batches):
+        for part, texts in text_blocks(batches):
+            values, sizes = _hashes(texts, shingle)
+            bits = _majority(values, sizes).view("<i8")
+            nodes, lengths, prefixes = [], [], []
+            for v in np.split(values, np.cumsum(sizes)[:-1]):
+                v = np.unique(v)
+                nodes.append(_hash(v.tobytes()))
+                lengths.append(len(v))
+                if len(frequent):
+                    common = np.isin(v, frequent)
+                    v = np.concatenate([v[~common], v[common]])
+                prefixes.append(v[: len(v) - math.ceil(jaccard * len(v) - 1e-9) + 1])
+            offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes).view("<i8")))
+            columns = [part["row"], part["doc_id"], pa.array(bits), pa.array(np.array(nodes, dtype="<u8").view("<i8")), pa.array(lengths, pa.int32()), prefix]
+            yield pa.record_batch(columns, names=["row", "doc_id", "fingerprint", "node", "size", "prefix"])
+
+    return docs.mapInArrow(run, "row long, doc_id long, fingerprint long, node long, size int, prefix array<long>")
+
+
+def _passed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """Those pairs a, b of nodes whose sets of shingles have at least this Jaccard similarity; rows: a row of each node."""
+    pairs = save(pairs.select("a", "b"), "candidates")
+    ends = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(rows, "node").select("node", "row"), "ends")
+    texts = docs.join(ends.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    sets = save(_sets(texts, shingle).join(ends, "row").select("node", "shingles"), "shingles")
+    x, y = (sets.withColumnsRenamed({"node": n, "shingles": s}) for n, s in (("a", "x"), ("b", "y")))
     common = F.size(F.array_intersect("x", "y"))
-    return pairs.filter(common >= jaccard * (F.size("x") + F.size("y") - common)).select("a", "b")
+    joined = pairs.join(x, "a").join(y, "b")
+    return joined.filter(common + 1e-9 >= jaccard * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def similar(docs: DataFrame, prints: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """a, b: links that connect all nodes of prints whose sets have at least this Jaccard similarity.
+
+    Exact: two such sets share an element of their prefixes. Where more than HUB_NODES nodes share one, they are first
+    compared with one of them (HUB_ROUNDS times with another one), so that a large group costs a row a node. Then every
+    pair that isn't connected yet is a candidate if its sets may have enough in common: what their prefixes share and what
+    lies behind the longer rest of them.
+    """
+    sets = prints.groupBy("node").agg(F.min("row").alias("row"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
+    sets = save(sets, "sets")
+    rows, sizes = sets.select("node", "row"), sets.select("node", "size")
+    tokens = sets.select("node", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = save(tokens.join(shared, "token").join(sizes, "node"), "members")
+    near = F.least("size", "other_size") >= jaccard * F.greatest("size", "other_size") - 1e-9
+    ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    found, labelled = None, members.withColumn("root", F.col("node"))
+    for n in range(HUB_ROUNDS):
+        large = labelled.filter(F.col("n") > HUB_NODES)
+        hubs = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(n)), F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))).alias("hub"))
+        pairs = large.join(hubs.select("token", "hub.other", "hub.other_size", "hub.other_root"), "token")
+        pairs = pairs.filter((F.col("root") != F.col("other_root")) & near).select(*ends).distinct()
+        passed = _passed(pairs, rows, docs, shingle, jaccard)
+        found = save(passed if found is None else found.unionByName(passed), "links")
+        roots = components(found).withColumnRenamed("root", "found")
+        labelled = members.join(roots, "node", "left").select("token", "n", "node", "size", F.coalesce("found", "node").alias("root"))
+        split = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+        labelled = save(labelled.join(split, "token"), "labelled")
+    other = labelled.drop("n").withColumnsRenamed({"node": "other", "size": "other_size", "root": "other_root"})
+    pairs = labelled.join(other, "token").filter((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & near)
+    # A set's elements behind its prefix: one less than it must have in common.
+    behind = lambda c: F.greatest(F.ceil(F.col(c) * jaccard - 1e-9) - 1, F.lit(0))
+    most = F.count(F.lit(1)) + F.greatest(behind("size"), behind("other_size"))
+    least = jaccard / (1 + jaccard) * (F.col("size") + F.col("other_size")) - 1e-6
+    pairs = pairs.groupBy("node", "other", "size", "other_size").agg(most.alias("most")).filter(F.col("most") >= least)
+    return found.unionByName(_passed(pairs.select(*ends), rows, docs, shingle, jaccard))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, jaccard: float | None = JACCARD, blocks: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (long), component_id: smallest doc_id reachable over links, one row per input row.
 
-    Fingerprints link if at most `radius` bits differ and, with jaccard, the texts of their smallest doc_ids have that
-    similarity as sets of shingles; tile pairs then offer their closest links, a spanning forest. Equal fingerprints
-    always link. Ids should be unique; a component of null ids only has a null component_id. An empty table gives no
-    rows. Other columns are ignored.
+    With jaccard, texts link if their sets of shingles have at least that similarity, whatever their fingerprints; all
+    such pairs count. Without, fingerprints link if at most `radius` bits differ. Texts without words are equal. Ids
+    should be unique; a component of null ids only has a null component_id. An empty table gives no rows. Other columns
+    are ignored.
     """
-    prints = save(fingerprints(docs, shingle, text, doc_id), "fingerprints")
-    owners = save(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("owner")), "owners")
-    edges = links(owners, radius, blocks or (4 if radius <= 2 else 1))
-    if jaccard is not None:
-        edges = _verified(edges, owners, docs, shingle, jaccard, text, doc_id)
+    if jaccard is None:
+        prints = save(fingerprints(docs, shingle, text, doc_id).withColumn("node", F.col("fingerprint")), "fingerprints")
+    else:
+        ids, content = F.col(doc_id).cast("long"), text_of(text)
+        rows = docs.select(F.xxhash64(ids, content).alias("row"), ids.alias("doc_id"), content.alias("text"))
+        prints = save(_signatures(rows, shingle, jaccard), "signatures")
+    owners = save(prints.groupBy("node").agg(F.min("doc_id").alias("owner")), "owners")
+    if jaccard is None:
+        edges = links(owners.withColumnRenamed("node", "fingerprint"), radius, blocks or (4 if radius <= 2 else 1))
+    else:
+        edges = similar(rows.select("row", "text"), prints, shingle, jaccard)
     roots = components(edges)
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = linked.join(owners.withColumnRenamed("fingerprint", "node"), "node")
+    linked = linked.join(owners, "node")
     smallest = linked.groupBy("root").agg(F.min("owner").alias("component_id"))
-    linked = linked.join(smallest, "root").select(F.col("node").alias("fingerprint"), "component_id")
-    named = save(owners.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "owner").alias("component_id")), "components")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    linked = linked.join(smallest, "root").select("node", "component_id")
+    named = save(owners.join(linked, "node", "left").select("node", F.coalesce("component_id", "owner").alias("component_id")), "components")
+    return prints.select("doc_id", "fingerprint", "node").join(named, "node").select("doc_id", "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -171,6 +171,46 @@ def test_links_lose_no_component(spark, radius, blocks):
     assert {v: root.get(v, v) for v in signed} == {v: find(v) for v in signed}
 
 
+def brute_kept(texts, n=5, least=0.8):
+    """The ids that stay if every pair of this Jaccard similarity is linked."""
+    sets = {}
+    for d, t in texts:
+        words = t.lower().split()
+        sets[d] = {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return sorted(d for d in sets if find(d) == d)
+
+
+def family_texts(seed, families, members, words, changes):
+    """Families of texts that share a body; in each text some words of it are others."""
+    rng, texts = random.Random(seed), []
+    for f in range(families):
+        body = [f"b{f}x{i}" for i in range(words)]
+        for m in range(members):
+            own = list(body)
+            for i in rng.sample(range(words), rng.randint(*changes)):
+                own[i] = f"o{f}x{m}x{i}"
+            texts.append((len(texts), " ".join(own)))
+    return texts
+
+
+def test_every_similar_pair_counts(spark):
+    texts = family_texts(1, 40, 12, 204, (2, 8))
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
+
+
 def test_mixing(spark, docs, none):
     found = mixing.plan(docs).collect()
     sizes = {}
