@@ -211,6 +211,15 @@ def test_every_similar_pair_counts(spark):
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
 
 
+def test_pairs_of_distant_fingerprints_count(spark):
+    texts = family_texts(2, 150, 2, 64, (0, 1))
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string"))
+    expected = brute_kept(texts)
+    prints = {d: brute_fingerprint(t, 5) for d, t in texts}
+    assert any((prints[d] ^ prints[d - 1]).bit_count() > 12 for d in range(1, len(texts), 2) if d not in expected)
+    assert sorted(r.doc_id for r in kept.collect()) == expected
+
+
 def test_mixing(spark, docs, none):
     found = mixing.plan(docs).collect()
     sizes = {}
