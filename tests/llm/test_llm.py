@@ -220,6 +220,14 @@ def test_pairs_of_distant_fingerprints_count(spark):
     assert sorted(r.doc_id for r in kept.collect()) == expected
 
 
+def test_equal_fingerprints_are_no_proof(spark):
+    run = " 0" * 600
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(250)) + run) for i in range(3)]
+    assert len({brute_fingerprint(t, 5) for _, t in texts}) == 1
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2] == brute_kept(texts)
+
+
 def test_mixing(spark, docs, none):
     found = mixing.plan(docs).collect()
     sizes = {}
