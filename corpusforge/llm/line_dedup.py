@@ -1,9 +1,8 @@
 """Line dedup by a log-template tree; DataFrame functions only.
 
 A line's variable fields (numbers, hexadecimal ids, addresses) are masked. The tree has a fixed depth: the first level
-is the token count, the next ones are the leading tokens. In a leaf, the template seen first takes in every other one
-that agrees with it in enough positions; the differing positions are its further variable fields. A line goes if its
-template was seen in a document with a smaller id.
+is the token count, the next ones are the leading tokens. A line goes if a document with a smaller id has its template,
+or another one of its leaf that agrees with it in enough positions; the differing positions are further variable fields.
 """
 
 from __future__ import annotations
@@ -17,12 +16,14 @@ from corpusforge.llm.common import BLANKS, WORD_SEPARATOR, save, text_of
 MIN_TOKENS = 5
 #: Leading tokens that are levels of the tree.
 LEADING = 3
-#: Share of positions in which a template must agree with its leaf's first one.
+#: Share of positions in which a template must agree with an earlier one of its leaf.
 SIMILARITY = 0.8
+#: Rounds in which templates are compared with the first of their block only.
+HEADS = 2
 
 #: A token with one of these anywhere is a variable field: a digit, an address, a link.
 VARIABLE = r"[0-9@]|://"
-_LAST = 2**63 - 1
+_FIRST, _LAST = -(2**63), 2**63 - 1
 
 
 def _lines(docs: DataFrame, min_tokens: int, leading: int) -> DataFrame:
@@ -47,6 +48,39 @@ def _lines(docs: DataFrame, min_tokens: int, leading: int) -> DataFrame:
     )
 
 
+def _repeats(codes: DataFrame, leading: int, similarity: float) -> DataFrame:
+    """template: each of codes (leaf, template, owner, codes) for which its leaf has one of a smaller owner that agrees
+    with it in enough positions.
+
+    Exact: if at most k positions may differ, one of k + 1 parts of the positions is equal, so like templates share a
+    block. A block's first template is tried HEADS times, each time by those that found none yet; then these try all.
+    """
+    n, m = F.size("codes"), F.greatest(F.size("codes") - leading, F.lit(0))
+    differ = n - F.ceil(n * similarity - 1e-9)
+    parts = F.when(differ < m, differ + 1).otherwise(1).cast("int")
+    start = lambda i: F.floor(i * m / parts).cast("int")
+    # Where all may differ, there is one part without positions: the leaf.
+    part = lambda i: F.xxhash64("leaf", i, F.slice("codes", start(i) + leading + 1, F.when(differ < m, start(i + 1) - start(i)).otherwise(0)))
+    blocks = codes.select("template", "owner", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), part)).alias("block"))
+    shared = blocks.groupBy("block").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high").select("block", "low")
+    blocks = save(blocks.join(shared, "block"), "blocks")
+    a, b = (codes.select(F.col("template").alias(t), F.col("codes").alias(c)) for t, c in (("template", "x"), ("other", "y")))
+    same = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda e: e))
+
+    def like(pairs: DataFrame) -> DataFrame:
+        pairs = save(pairs.select("template", "other").distinct(), "pairs").join(a, "template").join(b, "other")
+        return save(pairs.filter(same >= F.size("x") * similarity).select("template").distinct(), "like")
+
+    found, left = None, blocks.filter("owner > low")
+    for n in range(HEADS):
+        heads = (left if n else blocks).groupBy("block").agg(F.min(F.struct("owner", F.col("template").alias("other"))).alias("head"))
+        taken = like(left.join(heads, "block").filter("head.owner < owner").select("template", "head.other"))
+        found = taken if found is None else found.unionByName(taken)
+        left = save(left.join(taken, "template", "left_anti"), "left")
+    others = blocks.select("block", F.col("template").alias("other"), F.col("owner").alias("earlier"))
+    return found.unionByName(like(left.join(others, "block").filter("earlier < owner")))
+
+
 def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_tokens: int = MIN_TOKENS, leading: int = LEADING, similarity: float = SIMILARITY) -> DataFrame:
     """row, positions: for each document that loses lines, xxhash64 of its id and text, and the lines' numbers from 0."""
     ids = F.col(doc_id)
@@ -61,26 +95,14 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
         ),
         "templates",
     )
-    # Leaves with several templates: the others are compared with the first one only, never with each other.
-    leaves = templates.groupBy("leaf").agg(F.min(F.struct("seen", "template")).alias("first"), F.count(F.lit(1)).alias("n"))
-    leaves = save(leaves.filter("n > 1").select("leaf", F.col("first.template").alias("first_template"), F.col("first.seen.owner").alias("first_owner")), "leaves")
-    codes = (
-        lines.join(leaves.select("leaf"), "leaf", "left_semi")
-        .groupBy("leaf", "template")
-        .agg(F.any_value("codes").alias("codes"))
-    )
-    codes = save(codes, "codes")
-    firsts = leaves.join(codes.withColumnsRenamed({"leaf": "l", "template": "t", "codes": "first_codes"}), F.expr("leaf = l AND first_template = t")).select("leaf", "first_template", "first_owner", "first_codes")
-    same = F.size(F.filter(F.zip_with("codes", "first_codes", lambda a, b: a == b), lambda x: x))
-    merged = (
-        codes.join(firsts, "leaf")
-        .filter((F.col("template") != F.col("first_template")) & (same >= F.size("codes") * similarity))
-        .select("leaf", "template", "first_owner")
-    )
-    # Only templates that some document must give up: seen in several documents, or taken in by an earlier template.
+    leaves = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf")
+    codes = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "template").agg(F.any_value("codes").alias("codes"))
+    firsts = templates.select("leaf", "template", F.col("seen.owner").alias("owner"))
+    codes = save(codes.join(firsts, ["leaf", "template"]), "codes")
+    # Only templates that some document must give up: seen in several documents, or like one of an earlier document.
     recurring = (
-        templates.join(merged, ["leaf", "template"], "left")
-        .withColumn("keeper", F.least("seen.owner", F.coalesce("first_owner", F.lit(_LAST))))
+        templates.join(_repeats(codes, leading, similarity).withColumn("repeats", F.lit(True)), "template", "left")
+        .withColumn("keeper", F.when(F.col("repeats"), F.lit(_FIRST)).otherwise(F.col("seen.owner")))
         .filter(F.col("last_owner") > F.col("keeper"))
         .select("leaf", "template", "keeper")
     )

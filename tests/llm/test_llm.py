@@ -317,6 +317,29 @@ def test_lines(spark, none):
     assert found.columns == [*docs.columns, "lines_dropped"] and line_dedup.without_recurring_lines(none).count() == 0
 
 
+def test_lines_like_any_earlier_one(spark):
+    rng = random.Random(3)
+    view = "The user has no rights to view this page at all"
+    rows = [(1, view)] + [(i, f"The user has logged in as {n} from the main office") for i, n in enumerate(["Alice", "Bob", "Eve"], 2)]
+    words = ["red", "green", "blue", "grey"]
+    for d in range(5, 200):
+        lines = []
+        for _ in range(4):
+            n = rng.choice([5, 6, 9, 10, 14, 15, 20])
+            body = [rng.choice(words) if rng.random() < 0.3 else f"w{i}" for i in range(n - 3)]
+            lines.append(" ".join(["one", "two", rng.choice(["three", "four"]), *body]))
+        rows.append((d, "\n".join(lines)))
+    lines = [(d, line.split()) for d, t in rows for line in t.split("\n")]
+
+    def gone(d, line):
+        mine = line.split()
+        return any(e < d and len(x) == len(mine) and x[:3] == mine[:3] and sum(map(str.__eq__, x, mine)) >= 0.8 * len(mine) for e, x in lines)
+
+    expected = {d: "\n".join(x for x in t.split("\n") if not gone(d, x)) for d, t in rows}
+    found = line_dedup.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in found.collect()} == expected and expected[3] == expected[4] == "" and 50 < sum(map(bool, expected.values()))
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(700, 16)).astype(np.float32)
