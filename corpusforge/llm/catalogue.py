@@ -26,7 +26,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_files.write_files(table(spark, sf_dir, "documents"), bpe.public_path(TOKENIZER))
+    files = token_files.write_files(table(spark, sf_dir, "documents"), bpe.public_path(TOKENIZER), added_tokens=True)
     return token_files.read_documents(files)
 
 

@@ -13,8 +13,10 @@ again as a whole.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -121,17 +123,17 @@ class TokenFile:
         return self.ids[self.end(i - 1) : self.end(i)]
 
 
-_workers: dict[tuple, Chunks] = {}
+_workers: dict[tuple, Callable[[list[str]], list[bytes]]] = {}
 
 
-def _worker(path: str, pattern: str) -> Chunks:
+def _worker(path: str, pattern: str, added_tokens: bool) -> Callable[[list[str]], list[bytes]]:
     """This Python worker's tokenizer. Pieces of the vocabulary's own pattern are encoded once each."""
-    if (path, pattern) not in _workers:
+    if (path, pattern, added_tokens) not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not added_tokens
 
         def encode_pieces(pieces: list[str]) -> list[bytes]:
             found = []
@@ -142,16 +144,38 @@ def _worker(path: str, pattern: str) -> Chunks:
                 found += [data[a:b] for a, b in zip(ends, ends[1:])]
             return found
 
-        _workers[path, pattern] = Chunks(pattern, encode_pieces)
-    return _workers[path, pattern]
+        added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()} if added_tokens else {}
+        # Tokens that are found wherever they stand, and as they stand, cut a text in two; with others it stays whole.
+        cuts = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for _, t in added.values())
+        split = re.compile("|".join(f"({re.escape(c)})" for c in sorted(added, key=len, reverse=True))).split if added else None
+        chunks, marks = Chunks(pattern, encode_pieces), {c: struct.pack("<I", i) for c, (i, _) in added.items()}
+
+        def encode(texts: list[str]) -> list[bytes]:
+            having = [i for i, t in enumerate(texts) if any(c in t for c in added)]
+            if not having:
+                return chunks.encode(texts)
+            skipped = set(having)
+            found = chunks.encode(["" if i in skipped else t for i, t in enumerate(texts)])
+            for i in having:
+                if cuts:
+                    segments = [s for s in split(texts[i]) if s]
+                    values = iter(chunks.encode([s for s in segments if s not in marks]))
+                    found[i] = b"".join(marks[s] if s in marks else next(values) for s in segments)
+                else:
+                    found[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return found
+
+        _workers[path, pattern, added_tokens] = encode
+    return _workers[path, pattern, added_tokens]
 
 
-def write_files(docs: DataFrame, path: str, pattern: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def write_files(docs: DataFrame, path: str, pattern: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS, text: str = "text", doc_id: str = "doc_id", added_tokens: bool = False) -> DataFrame:
     """Token files of docs as a written table: part, seq, n_docs, n_ids, data; (part, seq) is ascending doc_id order.
 
     path: a tokenizer file of the tokenizers library whose pre-tokenizer is `pattern`. Every document ends with end_id.
     Null texts are empty; null doc_ids come first; rows of equal id are ordered by a hash of their text. An empty
-    table gives no files. Other columns are ignored.
+    table gives no files. Other columns are ignored. added_tokens: the file's added tokens get their own ids where a text
+    has them, as the library does by itself; otherwise they are text.
     """
     pattern = pattern or default_pattern()
 
@@ -164,9 +188,9 @@ def write_files(docs: DataFrame, path: str, pattern: str | None = None, end_id:
             row = [[part], [seq], [len(held)], [len(ids)], [pack([d for d, _ in held], ends, ids)]]
             return pa.record_batch([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "n_docs", "n_ids", "data"])
 
-        chunks, end = _worker(path, pattern), struct.pack("<I", end_id)
+        encode, end = _worker(path, pattern, added_tokens), struct.pack("<I", end_id)
         for rows, texts in blocks(batches):
-            for d, ids in zip(rows["doc_id"].to_pylist(), chunks.encode(texts)):
+            for d, ids in zip(rows["doc_id"].to_pylist(), encode(texts)):
                 held.append((d, ids + end))
                 size += len(ids) // 4 + 1
                 if size >= file_ids:

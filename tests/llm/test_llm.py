@@ -90,6 +90,18 @@ def test_token_files(docs, none):
     assert token_files.read_documents(token_files.write_files(none, TOKENIZER)).count() == 0
 
 
+def test_token_files_know_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    texts = ["end <|endoftext|> next", "plain text", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b <|endoftext", "", "x" * 5000 + " <|endoftext|> it's"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = token_files.write_files(rows, TOKENIZER, added_tokens=True)
+    found = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.read_documents(files).collect()}
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert ids[0] == [437, 220, 50256, 1306, 2] and found == {i: (len(x), zlib.crc32(packed(x))) for i, x in enumerate(ids)}
+
+
 def test_boundaries_by_select():
     rng = random.Random(2)
     lengths = [rng.choice([0, 0, 1, 7, 300]) for _ in range(500)]
