@@ -17,19 +17,25 @@ def exact_dedupe(docs: DataFrame) -> DataFrame:
 def answers_in_context(items: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:
     """item_id, doc_id: items whose text a document contains.
 
-    Candidates share the item's first words; they are found by an equi-join on a hash of every run of so many words, so
-    neither side is broadcast, and then tested.
+    Candidates share the first of the item's inner words, at most so many; a document may continue the first and the last
+    one. They are found by an equi-join on a hash of every run of so many words, so neither side is broadcast, and then
+    tested. Items without inner words (one or two words) are tested with every document.
     """
-    runs = lambda c: F.transform(
-        F.expr(f"sequence(1, greatest(size({c}) - {words - 1}, 1))"), lambda i: F.xxhash64(F.array_join(F.slice(c, i, words), " "))
-    )
     blank = r"[\x20\x09-\x0D]+"
-    keyed = items.withColumn("w", F.slice(F.split(F.btrim("text"), blank), 2, words)).filter(F.size("w") == words)
-    keyed = keyed.select("item_id", F.col("text").alias("item"), F.xxhash64(F.array_join("w", " ")).alias("run"))
-    tokens = docs.select("doc_id", "text", F.split("text", blank).alias("w"))
-    found = tokens.select("doc_id", F.explode(F.array_distinct(runs("w"))).alias("run")).join(keyed, "run")
-    candidates = found.select("doc_id", "item_id", "item").distinct()
-    return candidates.join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    hashed = lambda w: F.xxhash64(F.size(w), F.array_join(w, " "))
+    keyed = items.withColumn("w", F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), blank))
+    keyed = keyed.withColumn("w", F.slice("w", 2, F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(words))))
+    keyed = keyed.select("item_id", F.col("text").alias("item"), F.size("w").alias("n"), hashed("w").alias("run"))
+    texts = docs.select("doc_id", "text")
+    lengths = sorted(r.n for r in keyed.filter("n > 0").select("n").distinct().collect())
+    tokens = texts.select("doc_id", F.split("text", blank).alias("w"))
+    # A sequence that would run backwards is of a document of too few words.
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: hashed(F.slice("w", i, n))))
+    every = F.concat(*[F.coalesce(runs(n), F.array().cast("array<bigint>")) for n in lengths]) if lengths else F.array().cast("array<bigint>")
+    found = tokens.select("doc_id", F.explode(F.array_distinct(every)).alias("run")).join(keyed.filter("n > 0"), "run")
+    candidates = found.select("doc_id", "item_id", "item").distinct().join(texts, "doc_id")
+    short = texts.join(keyed.filter("n = 0").select("item_id", "item"), F.col("text").contains(F.col("item")))
+    return candidates.filter(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
 
 
 def embedding_neighbours(vectors: DataFrame, threshold: float) -> DataFrame:

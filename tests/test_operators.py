@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.operators import corpus, generation, packaging, sampling, selection
+from corpusforge.operators import corpus, generation, packaging, quality, sampling, selection
 from corpusforge.schemas import PUBLICATIONS
 from corpusforge.sources import files
 
@@ -85,3 +85,11 @@ def test_stream(spark, tmp_path):
         stream = ingest.write_new_rows(ingest.read_new_publications(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
         stream.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_short_answers_in_context(spark):
+    docs = [(1, "Take aspirin daily, or the red\tpill of old  times"), (2, "aspirins and the red pills"), (3, ""), (4, None), (5, "one two three four five six seven eight ninety"), (6, " the red pill")]
+    items = [(1, "aspirin"), (2, "red pill"), (3, "the red pill"), (4, "red\tpill of"), (5, "one two three four five six seven eight nine"), (6, ""), (7, None), (8, " red "), (9, "absent"), (10, "the red pill of old"), (11, "wo three four five six")]
+    found = quality.answers_in_context(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    expected = [(i, d) for i, a in items for d, t in docs if a is not None and t is not None and a in t]
+    assert sorted(map(tuple, found.collect())) == expected
