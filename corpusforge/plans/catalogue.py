@@ -115,6 +115,12 @@ def _(spark, sf):
     return fx.read(spark, sf, "pages").filter(~F.col("html").contains("<claim")).select("page_id", raw.alias("claim")).filter(~F.col("claim").contains("&"))
 
 
+@query("q_first_claim_html_all")
+def _(spark, sf):
+    """Every page, entities decoded: the regular expressions of SQL can't decode them as HTML5 does."""
+    return fx.read(spark, sf, "pages").select("page_id", text.claim_from_html(_markup()).alias("claim"))
+
+
 _NUMBERED = "'1. ' || split_part(text, chr(10), 1) || ' 2. ' || split_part(text, chr(10), 2)"
 
 

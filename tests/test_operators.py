@@ -93,3 +93,24 @@ def test_short_answers_in_context(spark):
     found = quality.answers_in_context(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
     expected = [(i, d) for i, a in items for d, t in docs if a is not None and t is not None and a in t]
     assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_first_claim_of_every_page(spark):
+    import html
+    import re
+
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.01"
+    found = {r.page_id: r.claim for r in __spark_entry__.queries()["q_first_claim_html_all"](spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+
+    def claim(page):
+        block = re.search(r"<claim\b[^>]*>(.*?)</claim>", page.replace("<p>", "<claim>").replace("</p>", "</claim>"), re.S | re.I)
+        text = block.group(1) if block else ""
+        for pattern in (r"(?is)<chemistry\b.*?</chemistry>", r"(?i)</?claim-text\b[^>]*>", r"<[^>]+>"):
+            text = re.sub(pattern, " ", text)
+        return re.sub(r"^\s*1\s*[\.\):\-]*\s*", "", re.sub(r"\s+", " ", html.unescape(text)).strip()).strip()
+
+    assert found == {p.page_id: claim(p.html) for p in pages} and len(found) == len(pages)
+    assert any("&" in c for c in found.values())
