@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,11 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 
+#: Long words of a bit filter, at most: 64 bits each, 4 MB in all.
+FILTER_WORDS = 1 << 18
+
 _local_roots: dict[str, str] = {}
+_scope = threading.local()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -29,19 +36,53 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/corpusforge-{spark.sparkContext.applicationId}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def save(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors. options: the
+    writer's."""
+    path = f"{scratch_root(df.sparkSession)}/{getattr(_scope, 'name', 'tables')}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove every scratch table of this application; call it once their results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+def clear_scratch(spark: SparkSession, scope: str = "") -> None:
+    """Remove every scratch table of this application, or of one scope; call it once their results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{scope}".rstrip("/"))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch_scope(name: str) -> Iterator[str]:
+    """Tables saved by this thread meanwhile go to a scope of their own, which clear_scratch can remove by itself."""
+    before = getattr(_scope, "name", "tables")
+    _scope.name = f"{name}-{threading.get_ident()}"
+    try:
+        yield _scope.name
+    finally:
+        _scope.name = before
+
+
+def bit_filter(keys: DataFrame, key: str) -> DataFrame:
+    """word, bits: at most FILTER_WORDS rows whatever the input, so they may be broadcast; see may_have."""
+    marked = keys.select(_filter_word(key).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), _place(key)).alias("bit"))
+    return marked.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _place(key: str) -> Column:
+    return F.col(key).bitwiseAND(63).cast("int")
+
+
+def _filter_word(key: str) -> Column:
+    return F.shiftright(key, 6).bitwiseAND(FILTER_WORDS - 1)
+
+
+def may_have(rows: DataFrame, key: str, filter_: DataFrame) -> DataFrame:
+    """rows without most of those whose key (a hash: long) isn't among the filter's keys: it saves a shuffle of rows that a
+    join would drop. A filter of very many keys drops none; the join decides in any case."""
+    hit = F.expr("shiftrightunsigned(bits, place) & 1 = 1")
+    marked = rows.withColumns({"word": _filter_word(key), "place": _place(key)})
+    return marked.join(F.broadcast(filter_), "word").filter(hit).select(rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
