@@ -1,229 +1,246 @@
 """Language ID by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-The network reads windows: the bytes of one word, or of a part of a long one. It labels every byte position of every
-window of a text; the document's probabilities are the mean of its positions' probabilities. Equal words are read once.
+The network reads running text in windows of its bytes, with some bytes of context on either side, and labels every byte
+position of every text; a document's probabilities are the mean of its positions' probabilities. Scripts without spaces
+are bytes like any others.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.bpe import blocks
+from corpusforge.llm.bpe import slices, utf8
 from corpusforge.llm.common import text_of
 
-#: The bounded sample it learns from: labelled documents of a language, and their most frequent words.
+#: The bounded sample it learns from: documents of a language, and windows of TRAIN_BYTES evenly spread over each.
 SAMPLE_DOCUMENTS = 200
-SAMPLE_WORDS = 3000
-#: Bytes of a window, state size, training.
-WINDOW_BYTES = 24
-HIDDEN = 24
-STEPS = 500
-BATCH = 192
-RATE = 0.01
-#: Words that a worker remembers before it starts anew.
-MEMO_WORDS = 250_000
+SAMPLE_WINDOWS = 8
+TRAIN_BYTES = 48
+#: Bytes of a window whose positions count, and of context on either side of it.
+WINDOW_BYTES = 240
+CONTEXT_BYTES = 16
+#: State size, training.
+HIDDEN = 16
+STEPS = 300
+BATCH = 128
+RATE = 0.02
+#: Windows read together.
+TOGETHER = 512
 #: Documents whose best language scores less are rejected by a filter.
 LEAST_SCORE = 0.4
 UNDETERMINED = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def padded(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (n, longest), zero after a window's end, and lengths."""
+    lengths = np.fromiter(map(len, windows), dtype=np.int64, count=len(windows))
+    data = np.zeros((len(windows), max(1, int(lengths.max(initial=0)))), dtype=np.uint8)
+    data[np.arange(data.shape[1]) < lengths[:, None]] = np.frombuffer(b"".join(windows), dtype=np.uint8)
+    return data, lengths
+
 
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Along the first axis."""
+    e = np.exp(logits - logits.max(axis=0))
+    e /= e.sum(axis=0)
+    return e
 
-def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Padded bytes (n, WINDOW_BYTES) and lengths."""
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    data = np.zeros((len(words), max(1, int(lengths.max(initial=0)))), dtype=np.int64)
-    data[np.arange(data.shape[1]) < lengths[:, None]] = np.frombuffer(b"".join(words), dtype=np.uint8)
-    return data, lengths
+
+def turned(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values (..., steps, n) with each window's own steps in the opposite order; its own inverse."""
+    steps = values.shape[-2]
+    if (lengths == steps).all():
+        return values[..., ::-1, :]
+    at = np.arange(steps)[:, None]
+    at = np.where(at < lengths, lengths - 1 - at, at)
+    return np.take_along_axis(values, at.reshape(*[1] * (values.ndim - 2), *at.shape), axis=-2)
 
 
 class Network:
-    """Parameters: for each direction input weights by byte, recurrent weights and a candidate bias; an output layer."""
+    """Parameters: for the update gate, the reset gate and the candidate (first axis) and either direction (second one)
+    input weights by byte (x), recurrent weights (h) and biases (c), and for either direction an output layer (o, oc). The
+    state after a byte is (1 - z) * candidate + z * state before. The backward direction reads each window from its end,
+    so both take their steps together."""
 
-    def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = 7):
+    def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = 7, dtype: type = np.float32):
         random = np.random.default_rng(seed)
         self.hidden = hidden
-        self.p: dict[str, np.ndarray] = {}
-        for way in ("f", "b"):
-            self.p[f"{way}x"] = random.normal(0, 0.3, (256, 3 * hidden)).astype(np.float32)
-            self.p[f"{way}h"] = random.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(np.float32)
-            self.p[f"{way}c"] = np.zeros(3 * hidden, dtype=np.float32)
-        self.p["o"] = random.normal(0, 0.1, (2 * hidden, classes)).astype(np.float32)
-        self.p["oc"] = np.zeros(classes, dtype=np.float32)
-
-    def _order(self, way: str, steps: int) -> range:
-        return range(steps) if way == "f" else range(steps - 1, -1, -1)
-
-    def _read(self, way: str, data: np.ndarray, inside: np.ndarray, tape: list | None = None) -> np.ndarray:
+        self.p = {
+            "x": random.normal(0, 0.3, (3, 2, 256, hidden)),
+            "h": random.normal(0, hidden**-0.5, (3, 2, hidden, hidden)),
+            "c": np.zeros((3, 2, hidden)),
+            "o": random.normal(0, 0.1, (2, hidden, classes)),
+            "oc": np.zeros(classes),
+        }
+        self.p = {name: v.astype(dtype) for name, v in self.p.items()}
+
+    def _read(self, data: np.ndarray, lengths: np.ndarray, tape: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x (steps, 3, 2, n) that were read and states (steps, 2, n, hidden) after them, each direction in its own
+        order; what stands after a window's end means nothing."""
         n, steps = data.shape
-        k = self.hidden
-        x, u, c = self.p[f"{way}x"], self.p[f"{way}h"], self.p[f"{way}c"]
-        state = np.zeros((n, k), dtype=np.float32)
-        states = np.zeros((n, steps, k), dtype=np.float32)
-        for t in self._order(way, steps):
-            given = x[data[:, t]] + c
-            back = state @ u
-            gates = _sigmoid(given[:, : 2 * k] + back[:, : 2 * k])
-            z, r = gates[:, :k], gates[:, k:]
-            new = np.tanh(given[:, 2 * k :] + r * back[:, 2 * k :])
-            here = inside[:, t : t + 1]
-            after = np.where(here, (1 - z) * new + z * state, state)
+        k, dtype = self.hidden, self.p["o"].dtype
+        columns = np.ascontiguousarray(data.T).astype(np.int64)
+        both = np.stack([columns, turned(columns, lengths)], axis=1)
+        rows = both[:, None] + (256 * np.arange(6)).reshape(3, 2, 1)
+        # A gate is (1 + tanh(x / 2)) / 2: halved weights, and one function for all three parts.
+        half = np.array([0.5, 0.5, 1], dtype=dtype).reshape(3, 1, 1, 1)
+        x, u = ((self.p["x"] + self.p["c"][:, :, None]) * half).reshape(-1, k), self.p["h"] * half
+        states, state = np.zeros((steps, 2, n, k), dtype=dtype), np.zeros((2, n, k), dtype=dtype)
+        given, back = np.empty((3, 2, n, k), dtype=dtype), np.empty((3, 2, n, k), dtype=dtype)
+        gates, (z, r, new) = given[:2], given
+        for t in range(steps):
+            x.take(rows[t], axis=0, out=given, mode="clip")
+            np.matmul(state, u, out=back)
+            gates += back[:2]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            before = back[2].copy() if tape is not None else None
+            back[2] *= r
+            new += back[2]
+            np.tanh(new, out=new)
             if tape is not None:
-                tape.append((t, state, z, r, new, back[:, 2 * k :]))
+                tape.append((state, z.copy(), r.copy(), new.copy(), before))
+            after = states[t]
+            np.subtract(state, new, out=after)
+            after *= z
+            after += new
             state = after
-            states[:, t] = state
-        return states
+        return rows, states
+
+    def _logits(self, states: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(classes, steps, n) by position."""
+        ahead, behind = (np.ascontiguousarray(np.moveaxis(states[:, i] @ self.p["o"][i], 2, 0)) for i in (0, 1))
+        ahead += turned(behind, lengths)
+        ahead += self.p["oc"][:, None, None]
+        return ahead
 
-    def label(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities (n, steps, classes) of every position, and which positions are inside."""
-        inside = np.arange(data.shape[1]) < lengths[:, None]
-        both = np.concatenate([self._read("f", data, inside), self._read("b", data, inside)], axis=2)
-        return self._softmax(both @ self.p["o"] + self.p["oc"]), inside
+    def label(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Probabilities (classes, steps, n) of every position; those after a window's end mean nothing."""
+        return _softmax(self._logits(self._read(data, lengths)[1], lengths))
 
-    @staticmethod
-    def _softmax(logits: np.ndarray) -> np.ndarray:
-        e = np.exp(logits - logits.max(axis=-1, keepdims=True))
-        return e / e.sum(axis=-1, keepdims=True)
+    def pool(self, data: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """(n, classes): sums of the probabilities of each window's positions from first to before last."""
+        at = np.arange(data.shape[1])[:, None]
+        return (self.label(data, lengths) * ((at >= first) & (at < last))).sum(axis=1).T
 
     def gradients(self, data: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy over positions, and its gradients by backpropagation through time."""
-        k = self.hidden
-        inside = np.arange(data.shape[1]) < lengths[:, None]
-        tapes: dict[str, list] = {"f": [], "b": []}
-        both = np.concatenate([self._read(way, data, inside, tapes[way]) for way in ("f", "b")], axis=2)
-        probabilities = self._softmax(both @ self.p["o"] + self.p["oc"])
+        k, (n, steps) = self.hidden, data.shape
+        inside = np.arange(steps)[:, None] < lengths
+        tape: list = []
+        rows, states = self._read(data, lengths, tape)
+        wrong = _softmax(self._logits(states, lengths))
         total = max(1, int(inside.sum()))
-        picked = probabilities[np.arange(len(data)), :, labels]
-        loss = float(-(np.log(np.maximum(picked, 1e-12)) * inside).sum() / total)
-        wrong = probabilities.copy()
-        wrong[np.arange(len(data)), :, labels] -= 1
-        wrong *= inside[:, :, None] / np.float32(total)
-        g = {"o": np.einsum("ntk,ntc->kc", both, wrong), "oc": wrong.sum(axis=(0, 1))}
-        into = wrong @ self.p["o"].T
-        for way, part in (("f", slice(0, k)), ("b", slice(k, 2 * k))):
-            u = self.p[f"{way}h"]
-            gx, gu = np.zeros_like(self.p[f"{way}x"]), np.zeros_like(u)
-            gc = np.zeros_like(self.p[f"{way}c"])
-            later = np.zeros((len(data), k), dtype=np.float32)
-            for t, state, z, r, new, back in reversed(tapes[way]):
-                here = inside[:, t : t + 1]
-                arriving = later + into[:, t, part]
-                flow = np.where(here, arriving, 0)
-                d_new = flow * (1 - z) * (1 - new * new)
-                d_z = flow * (state - new) * z * (1 - z)
-                d_r = d_new * back * r * (1 - r)
-                given = np.concatenate([d_z, d_r, d_new], axis=1)
-                recurrent = np.concatenate([d_z, d_r, d_new * r], axis=1)
-                np.add.at(gx, data[:, t], given)
-                gu += state.T @ recurrent
-                gc += given.sum(axis=0)
-                later = np.where(here, flow * z + recurrent @ u.T, arriving)
-            g |= {f"{way}x": gx, f"{way}h": gu, f"{way}c": gc}
-        return loss, g
-
-    def fit(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS, seed: int = 11) -> list[float]:
-        """Adam on batches drawn by weight; returns the losses."""
+        loss = float(-(np.log(np.maximum(wrong[labels, :, np.arange(n)].T, 1e-12)) * inside).sum() / total)
+        wrong[labels, :, np.arange(n)] -= 1
+        wrong *= inside / wrong.dtype.type(total)
+        errors = np.stack([wrong, turned(wrong, lengths)]).transpose(2, 0, 3, 1)  # (steps, 2, n, classes)
+        g = {"o": np.einsum("tdnk,tdnc->dkc", states, errors), "oc": wrong.sum(axis=(1, 2))}
+        into, u = errors @ self.p["o"].transpose(0, 2, 1), self.p["h"]
+        g["h"], given = np.zeros_like(u), np.zeros((steps, 3, 2, n, k), dtype=u.dtype)
+        later = np.zeros((2, n, k), dtype=u.dtype)
+        for t in range(steps - 1, -1, -1):
+            state, z, r, new, back = tape[t]
+            # Nothing flows into a position after the window's end, so it passes on nothing either.
+            flow = (later + into[t]) * inside[t][:, None]
+            d_new = flow * (1 - z) * (1 - new * new)
+            given[t] = flow * (state - new) * z * (1 - z), d_new * back * r * (1 - r), d_new
+            recurrent = given[t].copy()
+            recurrent[2] *= r
+            g["h"] += state.transpose(0, 2, 1) @ recurrent
+            later = flow * z + (recurrent @ u.transpose(0, 1, 3, 2)).sum(axis=0)
+        order = np.argsort(rows, axis=None, kind="stable")
+        seen, firsts = np.unique(rows.ravel()[order], return_index=True)
+        flat = np.zeros((6 * 256, k), dtype=u.dtype)
+        flat[seen] = np.add.reduceat(given.reshape(-1, k)[order], firsts, axis=0)
+        return loss, g | {"x": flat.reshape(3, 2, 256, k), "c": given.sum(axis=(0, 3))}
+
+    def fit(self, windows: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 11) -> list[float]:
+        """Adam on batches in which every label is as likely; returns the losses."""
         random = np.random.default_rng(seed)
         first, second = ({name: np.zeros_like(v) for name, v in self.p.items()} for _ in range(2))
-        share, losses = weights / weights.sum(), []
-        draws = random.choice(len(words), size=(steps, BATCH), p=share)
+        share, losses = 1 / np.bincount(labels)[labels] / len(np.unique(labels)), []
+        draws = random.choice(len(windows), size=(steps, BATCH), p=share / share.sum())
         for step, drawn in enumerate(draws, 1):
-            data, lengths = windows([words[i] for i in drawn])
-            loss, g = self.gradients(data, lengths, labels[drawn])
+            loss, g = self.gradients(*padded([windows[i] for i in drawn]), labels[drawn])
             losses.append(loss)
             rate = RATE * (1 - 0.9 * step / steps)
             for name, v in g.items():
                 first[name] = 0.9 * first[name] + 0.1 * v
                 second[name] = 0.99 * second[name] + 0.01 * v * v
                 move = first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-                self.p[name] = (self.p[name] - rate * move).astype(np.float32)
+                self.p[name] = (self.p[name] - rate * move).astype(v.dtype)
         return losses
 
 
 class Model:
-    """A trained network with its languages, and a worker's memo of words it has read."""
+    """A trained network and its languages."""
 
     def __init__(self, languages: list[str], network: Network | None):
         self.languages, self.network = languages, network
 
-    def __getstate__(self):
-        return {"languages": self.languages, "network": self.network}
-
-    def _read_words(self, words: list[str]) -> np.ndarray:
-        """(n, classes + 1): the sum of each word's position probabilities, and its positions; zero without a letter."""
-        sums = np.zeros((len(words), len(self.languages) + 1), dtype=np.float64)
-        parts = []
-        for i, word in enumerate(words):
-            if any(map(str.isalpha, word)):
-                data = word.encode("utf-8", "surrogatepass")
-                parts += [(min(len(data) - j, WINDOW_BYTES), i, data[j : j + WINDOW_BYTES]) for j in range(0, len(data), WINDOW_BYTES)]
-        parts.sort(key=lambda x: x[0])
-        for start in range(0, len(parts), 4096):
-            _, owners, data = zip(*parts[start : start + 4096])
-            probabilities, inside = self.network.label(*windows(list(data)))
-            rows = (probabilities * inside[:, :, None]).sum(axis=1)
-            np.add.at(sums, list(owners), np.concatenate([rows, inside.sum(axis=1)[:, None]], axis=1))
-        return sums
-
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        if not self.languages:
-            return [(UNDETERMINED, 0.0)] * len(texts)
-        if not hasattr(self, "memo") or len(self.memo) > MEMO_WORDS:
-            self.memo, self.sums = {}, np.zeros((0, len(self.languages) + 1))
-        units = [[u for w in t.lower().split() for u in ((w,) if len(w) <= WINDOW_BYTES else _cut(w))] for t in texts]
-        new = sorted(set().union(*units).difference(self.memo))
-        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-        self.sums = np.concatenate([self.sums, self._read_words(new)])
-        found = []
-        for words in units:
-            pooled = self.sums[np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
-            if not pooled[-1]:
-                found.append((UNDETERMINED, 0.0))
-                continue
-            best = int(pooled[:-1].argmax())
-            found.append((self.languages[best], float(min(1.0, pooled[best] / pooled[-1]))))
-        return found
-
-
-def _cut(word: str) -> list[str]:
-    return [word[i : i + WINDOW_BYTES] for i in range(0, len(word), WINDOW_BYTES)]
+    def probabilities(self, texts: pa.Array) -> np.ndarray:
+        """(n, languages): the mean of the probabilities of all byte positions of each text; zero of an empty one."""
+        data, bounds = utf8(texts)
+        sizes = np.diff(bounds)
+        counts = -(-sizes // WINDOW_BYTES)
+        owner = np.repeat(np.arange(len(sizes)), counts)
+        inner = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * WINDOW_BYTES
+        first, last = np.maximum(inner - CONTEXT_BYTES, 0), np.minimum(inner + WINDOW_BYTES, sizes[owner])
+        lengths = np.minimum(last + CONTEXT_BYTES, sizes[owner]) - first
+        sums = np.zeros((len(sizes), len(self.languages)))
+        order = np.argsort(lengths, kind="stable")
+        for some in (order[i : i + TOGETHER] for i in range(0, len(order), TOGETHER)):
+            at = np.arange(lengths[some].max())
+            inside = at < lengths[some][:, None]
+            places = (bounds[owner[some]] + first[some])[:, None] + at
+            windows = np.where(inside, data[np.minimum(places, len(data) - 1)], 0).astype(np.uint8)
+            pooled = self.network.pool(windows, lengths[some], inner[some] - first[some], last[some] - first[some])
+            np.add.at(sums, owner[some], pooled)
+        return sums / np.maximum(sizes, 1)[:, None]
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The language of each text and its probability; `und` and 0 for texts without a letter."""
+        known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        if not self.languages or not len(texts):
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        found = self.probabilities(pc.if_else(pa.array(known), texts, ""))
+        best = found.argmax(axis=1)
+        names = [self.languages[i] if k else UNDETERMINED for i, k in zip(best.tolist(), known.tolist())]
+        return names, np.minimum(found[np.arange(len(best)), best], 1.0) * known
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", documents: int = SAMPLE_DOCUMENTS, words: int = SAMPLE_WORDS) -> Model:
-    """A model of every language in lang, from at most `documents` rows of each that aren't held out, and at most
-    `words` of their words. The driver receives no more than that many words of a language."""
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", documents: int = SAMPLE_DOCUMENTS, windows: int = SAMPLE_WINDOWS) -> Model:
+    """A model of every language in lang that some text with a letter has, from at most `documents` rows of each that
+    aren't held out and at most `windows` windows of TRAIN_BYTES of each row: that is all that the driver receives."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = rows.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     chosen = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= documents)
-    # Bounded: `documents` ids of each language.
+    data, size = F.encode("text", "UTF-8"), F.octet_length("text")
+    last = F.least(F.lit(windows), F.ceil(size / TRAIN_BYTES).cast("int")) - 1
+    start = lambda i: F.floor(i * F.greatest(size - TRAIN_BYTES, F.lit(0)) / F.greatest(last, F.lit(1))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(data, start(i) + 1, F.lit(TRAIN_BYTES)))
+    # Bounded: `documents` ids of each language. Rows that share id and language count once.
     sample = rows.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
-    counted = (
-        sample.select("lang", F.explode(F.split(F.lower("text"), r"(?U)\s+")).alias("word"))
-        .filter(F.col("word").rlike(r"\p{L}") & (F.length("word") <= WINDOW_BYTES))
-        .groupBy("lang", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    found = counted.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= words).select("lang", "word", "n").collect()
-    found.sort(key=lambda r: (r.lang, r.word))
-    languages = sorted({r.lang for r in found})
+    found = sample.select("doc_id", "lang", cut.alias("cut")).groupBy("doc_id", "lang").agg(F.min("cut").alias("cut")).collect()
+    found = sorted((r.lang, bytes(window)) for r in found for window in r.cut)
+    languages = sorted({name for name, _ in found})
     if not languages:
         return Model([], None)
-    labels = np.array([languages.index(r.lang) for r in found])
-    weights = np.sqrt([r.n for r in found])
-    weights /= np.bincount(labels, weights=weights)[labels]
     network = Network(len(languages))
-    network.fit([r.word.encode("utf-8", "surrogatepass")[:WINDOW_BYTES] for r in found], labels, weights)
+    network.fit([window for _, window in found], np.array([languages.index(name) for name, _ in found]))
     return Model(languages, network)
 
 
@@ -236,20 +253,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     `und` with score 0 for null texts, texts without a letter, and if nothing could be learned. Repeated rows and null
     ids give a row each (a null id isn't held out); an empty table gives none. Other columns are ignored.
     """
-    import uuid
-
-    spark = docs.sparkSession
-    key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         if key not in _models:
             _models.clear()
             _models[key] = shared.value
-        for part, texts in blocks(batches, "__text"):
-            found = _models[key].predict(texts)
-            kept = [part[c] for c in part.schema.names if c != "__text"]
+        for part in slices(batches, "__text"):
             names = [c for c in part.schema.names if c != "__text"]
-            yield pa.record_batch([*kept, pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            found, scores = _models[key].predict(part["__text"])
+            yield pa.record_batch([*[part[c] for c in names], pa.array(found, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
 
     own = [F.col(c) for c in carry] if carry else [F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out")]
     columns = docs.select(*own, text_of(text).alias("__text"))
@@ -258,7 +271,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
 
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """docs whose language could be told: lang_pred isn't `und` and scores at least least_score."""
+    """docs whose language could be told: lang_pred isn't `und` and scores at least least_score. Null, empty and letterless
+    texts go; repeated rows and rows with a null id stay or go like others; all columns stay, whatever their names."""
     model = train(docs, text, doc_id, lang)
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
     found = identify(row, model, "text", ["row"])
