@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from corpusforge.llm import bpe, exact_dedup, language_id, line_dedup, mixing, sharding, simhash, token_counts, token_files, vector_search
+from corpusforge.llm import pipeline as stages
 from corpusforge.llm.common import table
 
 #: Bytes of text per shard, for training shards that a loader reads whole.
@@ -26,7 +26,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_files.write_files(table(spark, sf_dir, "documents"), bpe.public_path(TOKENIZER), added_tokens=True)
+    files = token_files.write_files(table(spark, sf_dir, "documents"), bpe.public_path(TOKENIZER))
     return token_files.read_documents(files)
 
 
@@ -135,7 +135,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
