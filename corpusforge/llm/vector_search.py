@@ -4,6 +4,9 @@ Distinct vectors are dealt into shards by hash. A shard's graph is built by gree
 relaxed distance pruning that keeps diverse edges; queries run a beam search on every shard, scores are computed in
 double precision on the original vectors, and each query's best are merged. Inner products become distances by one
 more coordinate, the square root of what a vector's squared norm lacks to the shard's largest.
+
+Every query goes to every shard, so the work of a search grows with queries times shards; shards are as large as a task's
+memory allows.
 """
 
 from __future__ import annotations
@@ -15,8 +18,11 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.common import save
 
-#: Vectors of a shard, edges of a vector, beam width while building and searching, relaxation of the second pass.
-SHARD_ROWS = 8192
+#: Bytes of a shard's vectors (131,072 of 64 numbers). While there are fewer shards than cores, a shard may have fewer
+#: vectors, but not fewer than LEAST_ROWS.
+SHARD_BYTES = 64 << 20
+LEAST_ROWS = 8192
+#: Edges of a vector, beam width while building and searching, relaxation of the second pass.
 DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 160
@@ -150,10 +156,16 @@ def distinct_vectors(vectors: DataFrame, k: int, vec_id: str = "vec_id", embeddi
     return few.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def build_index(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(distinct: DataFrame, shard_rows: int | None = None) -> DataFrame:
     """dims, shard, place, rep, vector, neighbours: the graph of every shard, as a written table; neighbours are places
-    in the shard. Vectors of different length never meet."""
-    shards = max(1, -(-distinct.count() // shard_rows))
+    in the shard. Vectors of different length never meet. shard_rows: vectors of a shard, SHARD_BYTES of them if None."""
+    cores = distinct.sparkSession.sparkContext.defaultParallelism
+    most = F.lit(shard_rows) if shard_rows else F.greatest(F.lit(1), F.floor(SHARD_BYTES / (8 * F.col("dims"))))
+    shards = F.ceil(F.col("n") / most)
+    if not shard_rows:
+        shards = F.greatest(shards, F.least(F.lit(cores), F.ceil(F.col("n") / LEAST_ROWS)))
+    # A row for each length of vectors.
+    layout = distinct.groupBy(F.size("vector").alias("dims")).agg(F.count(F.lit(1)).alias("n")).select("dims", shards.cast("int").alias("shards"))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", ignore_index=True)
@@ -161,7 +173,8 @@ def build_index(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         graph.build()
         return rows.assign(place=np.arange(len(rows)), neighbours=list(graph.neighbours))[["dims", "shard", "place", "rep", "vector", "neighbours"]]
 
-    dealt = distinct.select(F.size("vector").alias("dims"), F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), "rep", "vector")
+    dealt = distinct.withColumn("dims", F.size("vector")).join(layout, "dims")
+    dealt = dealt.select("dims", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int").alias("shard"), "rep", "vector")
     schema = "dims int, shard int, place long, rep long, vector array<double>, neighbours array<long>"
     return save(dealt.groupBy("dims", "shard").applyInPandas(build, schema), "graph")
 
@@ -203,7 +216,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).drop("place")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int | None = None, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row with is_query its k nearest others, by inner product in
     double precision, ties to the smaller vec_id; all others, if there are fewer.
 
