@@ -17,6 +17,8 @@ from corpusforge.llm.common import hash60, save, text_of
 BITS = 60
 #: Bits by which a directory goes beyond what evenly spread bytes would need, and by which a deeper one continues.
 SPARE_BITS = 4
+#: Levels of the directory that are summed up between two written ones.
+LEVELS_TOGETHER = 4
 #: Copies of one row that a single task numbers.
 COPY_BLOCK = 4096
 
@@ -42,29 +44,27 @@ def _prefix(depth: int, column: str = "hash"):
 
 
 def directory(rows: DataFrame, limit: int, base: int, depth: int) -> DataFrame:
-    """cell, shard for each prefix of `depth` bits; rows are those whose prefixes shorter than `base` are oversized.
-    shard is a struct of the shard's depth, prefix, bytes and rows, or null if the entry itself is still too large."""
-    cells = save(
-        rows.groupBy(_prefix(depth).alias("cell")).agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows")),
-        "cells",
-    )
-    levels = []
-    for d in range(base, depth + 1):
-        level = cells.groupBy(F.shiftright("cell", depth - d).alias("prefix")).agg(
-            F.sum("shard_bytes").alias("shard_bytes"), F.sum("shard_rows").alias("shard_rows")
-        )
-        levels.append(level.withColumn("shard_depth", F.lit(d)))
-    final = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.col("shard_depth") == BITS)
-    fitting = reduce(DataFrame.unionByName, levels).filter(final)
-    # An entry's shard is the shortest of its prefixes that fits.
-    by_cell = [cells.select("cell", F.shiftright("cell", depth - d).alias("prefix"), F.lit(d).alias("shard_depth")) for d in range(base, depth + 1)]
-    entries = (
-        reduce(DataFrame.unionByName, by_cell)
-        .join(fitting, ["prefix", "shard_depth"], "left")
-        .groupBy("cell")
-        .agg(F.min(F.when(F.col("shard_bytes").isNotNull(), F.struct("shard_depth", "prefix", "shard_bytes", "shard_rows"))).alias("shard"))
-    )
-    return entries
+    """cell, shard_depth, prefix, shard_bytes, shard_rows for each prefix of `depth` bits that has a shard; rows are those
+    whose prefixes shorter than `base` are oversized. Prefixes that are still too large have none.
+
+    Prefixes of d bits are summed up from those of d + 1 bits, so all levels together are twice the last one. A prefix is a
+    shard if it fits and the one above it doesn't.
+    """
+    fits = lambda c, d: (F.col(f"{c}shard_bytes") <= limit) | (F.col(f"{c}shard_rows") == 1) | F.lit(d == BITS)
+    sums = [F.sum("shard_bytes").alias("shard_bytes"), F.sum("shard_rows").alias("shard_rows")]
+    level = rows.groupBy(_prefix(depth).alias("prefix")).agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
+    level, found = save(level, "cells"), []
+    for d in range(depth, base, -1):
+        two = F.collect_list(F.struct("prefix", "shard_bytes", "shard_rows")).alias("parts")  # one or two prefixes
+        level = level.groupBy(F.shiftright("prefix", 1).alias("prefix")).agg(*sums, two)
+        if (depth - d) % LEVELS_TOGETHER == 0:
+            level = save(level, "level")
+        found.append(level.filter(~fits("", d - 1)).select(F.explode("parts").alias("p")).filter(fits("p.", d)).select("p.*", F.lit(d).alias("shard_depth")))
+        level = level.drop("parts")
+    found.append(level.filter(fits("", base)).withColumn("shard_depth", F.lit(base)))
+    width = lambda n: f"shiftleft(prefix + {n}, {depth} - shard_depth)"
+    cells = F.explode(F.expr(f"sequence({width(0)}, {width(1)} - 1)")).alias("cell")
+    return reduce(DataFrame.unionByName, found).select(cells, "shard_depth", "prefix", "shard_bytes", "shard_rows")
 
 
 def shards(docs: DataFrame, limit: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -79,12 +79,14 @@ def shards(docs: DataFrame, limit: int, text: str = "text", doc_id: str = "doc_i
     base, depth, placed = 0, min(BITS, max(1, (int(total) // limit).bit_length() + SPARE_BITS)), []
     while True:
         entries = save(directory(rows, limit, base, depth), "directory")
-        found = rows.withColumn("cell", _prefix(depth)).join(entries, "cell")
-        placed.append(found.filter("shard IS NOT NULL").select("doc_id", "n_bytes", "shard.*"))
-        # Only rows below entries that are too large go on; the driver learns no more than whether there are any.
-        if depth == BITS or not entries.filter("shard IS NULL").limit(1).count():
+        found = rows.withColumn("cell", _prefix(depth)).join(entries, "cell", "left")
+        placed.append(found.filter("shard_depth IS NOT NULL").select("doc_id", "n_bytes", "shard_depth", "prefix", "shard_bytes", "shard_rows"))
+        # Only rows below prefixes that are too large go on; the driver learns no more than how many there are.
+        if depth == BITS:
+            break
+        rows = save(found.filter("shard_depth IS NULL").select("doc_id", "n_bytes", "hash"), "oversized")
+        if not rows.limit(1).count():
             break
-        rows = save(found.filter("shard IS NULL").select("doc_id", "n_bytes", "hash"), "oversized")
         base, depth = depth + 1, min(BITS, depth + SPARE_BITS)
     return reduce(DataFrame.unionByName, placed).select(
         "doc_id",
