@@ -74,12 +74,14 @@ def test_pieces_of_odd_texts(encoding):
     assert merges.decode(ids) == [t.encode() for t in texts]
 
 
-def test_token_files(docs, none):
+@pytest.mark.parametrize("added", [True, False])
+def test_token_files(docs, none, added):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    files = token_files.write_files(docs, TOKENIZER, file_ids=64)
+    if not added:
+        tokenizer.encode_special_tokens = True
+    files = token_files.write_files(docs, TOKENIZER, file_ids=64, **({} if added else {"added_tokens": False}))
     found = token_files.read_documents(files).orderBy("start").collect()
     start, expected = 0, []
     for d, text, *_ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -96,7 +98,7 @@ def test_token_files_know_added_tokens(spark):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     texts = ["end <|endoftext|> next", "plain text", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b <|endoftext", "", "x" * 5000 + " <|endoftext|> it's"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    files = token_files.write_files(rows, TOKENIZER, added_tokens=True)
+    files = token_files.write_files(rows, TOKENIZER)
     found = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.read_documents(files).collect()}
     ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     assert ids[0] == [437, 220, 50256, 1306, 2] and found == {i: (len(x), zlib.crc32(packed(x))) for i, x in enumerate(ids)}
@@ -112,6 +114,22 @@ def test_boundaries_by_select():
     assert file.document(40).tolist() == list(range(ends[39], ends[40]))
 
 
+def test_files_of_any_ids_and_lengths():
+    rng = random.Random(5)
+    for _ in range(60):
+        n, span = rng.choice([0, 1, 2, 63, 64, 65, 700]), rng.choice([1, 10**6, 2**63 - 1])
+        ends = np.cumsum([rng.choice([0, 1, 7, 5000]) for _ in range(n)]).astype(np.int64)
+        ids = sorted(rng.randrange(-span, span) for _ in range(n))
+        nulls = rng.randrange(min(n, 4) + 1)
+        ids[:nulls] = [None] * nulls
+        values = np.arange(ends[-1] if n else 0) % 70_000
+        file = token_files.TokenFile(token_files.pack(ids, ends, values))
+        assert file.ends().tolist() == ends.tolist() and file.doc_ids(np.arange(n)) == ids
+        assert all(file.document(i).tolist() == values[ends[i - 1] if i else 0 : ends[i]].tolist() for i in rng.sample(range(n), min(n, 5)))
+    with pytest.raises(ValueError):
+        token_files.pack([2, 1], np.array([1, 2]), np.array([5, 6]))
+
+
 def test_shards(spark, docs, none):
     found = sharding.shards(docs, 1000).collect()
     assert len(found) == len(ROWS)
@@ -287,6 +305,89 @@ def test_language_network_learns_and_predicts(spark, none):
     assert language_id.identify(empty, language_id.train(empty)).count() == 0
 
 
+def naive_states(network, windows):
+    """The same network, a position at a time."""
+    p, found = network.p, []
+    for window in windows:
+        both = []
+        for way, data in enumerate((window, window[::-1])):
+            state, states = np.zeros(network.hidden), []
+            for byte in data:
+                given, back = p["x"][:, way, byte] + p["c"][:, way], np.einsum("k,gkj->gj", state, p["h"][:, way])
+                z, r = 1 / (1 + np.exp(-(given[:2] + back[:2])))
+                state = (1 - z) * np.tanh(given[2] + r * back[2]) + z * state
+                states.append(state)
+            both.append(states if way == 0 else states[::-1])
+        logits = np.array(both[0]) @ p["o"][0] + np.array(both[1]) @ p["o"][1] + p["oc"]
+        e = np.exp(logits)
+        found.append(e / e.sum(axis=1, keepdims=True))
+    return found
+
+
+def test_language_network_against_a_naive_one_and_finite_differences():
+    random_ = np.random.default_rng(1)
+    network = language_id.Network(3, hidden=4, dtype=np.float64)
+    for name, v in network.p.items():
+        network.p[name] = v + random_.normal(0, 0.3, v.shape)
+    windows, labels = [b"hello", b"a", b"\xff\x00zz world"], np.array([0, 2, 1])
+    data, lengths = language_id.padded(windows)
+    probabilities, expected = network.label(data, lengths), naive_states(network, windows)
+    for i, e in enumerate(expected):
+        assert np.allclose(probabilities[:, : lengths[i], i].T, e)
+    loss, gradients = network.gradients(data, lengths, labels)
+    assert loss == pytest.approx(-sum(np.log(e[:, k]).sum() for e, k in zip(expected, labels)) / lengths.sum())
+    for name, v in network.p.items():
+        for _ in range(30):
+            at = tuple(random_.integers(0, n) for n in v.shape)
+            if name == "x":
+                at = (*at[:2], random_.choice(list(b"".join(windows))), at[3])
+            kept, step = v[at], 1e-5
+            v[at] = kept + step
+            more = network.gradients(data, lengths, labels)[0]
+            v[at] = kept - step
+            less = network.gradients(data, lengths, labels)[0]
+            v[at] = kept
+            assert (more - less) / (2 * step) == pytest.approx(gradients[name][at], abs=1e-8)
+
+
+def test_all_positions_of_whole_texts_count():
+    import pyarrow as pa
+
+    model = language_id.Model(["a", "b", "c"], language_id.Network(3, hidden=5))
+    texts = ["", "x", "many words " * 100, "y" * 241, "日本" * 200, None]
+    found = model.probabilities(pa.array(texts))
+    for text, row in zip(texts, found):
+        data, sums = (text or "").encode(), np.zeros(3)
+        for i in range(0, len(data), language_id.WINDOW_BYTES):
+            start = max(0, i - language_id.CONTEXT_BYTES)
+            stop = min(i + language_id.WINDOW_BYTES, len(data))
+            labels = naive_states(model.network, [data[start : stop + language_id.CONTEXT_BYTES]])[0]
+            sums += labels[i - start : stop - start].sum(axis=0)
+        assert np.allclose(row, sums / max(1, len(data)), atol=1e-5)
+
+
+def test_languages_without_spaces_are_learned(spark):
+    rng = random.Random(8)
+    letters = {"zh": "的一是不了在人有我他这中大来上国", "ja": "のにはをたがでてとしれさあいうえ", "th": "กขคงจชซญดตถทนบปผ", "en": None}
+    rows = []
+    for i in range(240):
+        lang = list(letters)[i % 4]
+        text = " ".join(rng.choices("the and of to in that it was for on".split(), k=40)) if lang == "en" else "".join(rng.choices(letters[lang], k=90))
+        rows.append((i, text, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    found = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert model.languages == ["en", "ja", "th", "zh"] and all(found[d].lang_pred == lang for d, _, lang in rows)
+
+
+def test_language_sample_is_bounded_by_ids(spark):
+    learned = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = spark.range(3000).select(F.lit(learned).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"), F.lit("en").alias("lang"))
+    clashing = rows.withColumns({"row": F.lit(1), "place": F.lit(2), "lang_pred": F.lit("x"), "score": F.lit("y"), "__text": F.lit("z")})
+    kept = language_id.keep_identified(clashing)
+    assert kept.columns == clashing.columns and kept.count() == 3000
+
+
 def brute_lines(rows):
     owners = [(2**63 - 1 if d is None else d, t) for d, t in rows]
     lines = []
@@ -390,9 +491,33 @@ def test_token_counts(docs, none, encoding):
     found = {r.doc_id: r for r in token_counts.counts_after_edits(docs, edits, RANKS).collect()}
     assert all(found[d].n_tokens_edited == len(encoding.encode_ordinary((t or "")[:2] + " new" + (t or "")[5:])) for d, t, *_ in ROWS)
     assert found[6].pieces_reencoded < 20 < found[6].pieces
+    assert found[6].n_tokens == len(encoding.encode_ordinary(LONG))
     assert token_counts.counts_after_edits(none, F.lit(None).cast("array<struct<start:int,length:int,replacement:string>>"), RANKS).count() == 0
 
 
+def test_trees_take_batch_after_batch_of_edits(spark, docs, encoding):
+    rng = random.Random(6)
+    letters = ["a", "s", "t", "v", " ", " ", "\n", "'", "1", ".", "é"]
+    texts = {i: "".join(rng.choices(letters, k=rng.choice([0, 5, 200, 3000]))) for i in range(30)}
+    rows = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    state = token_counts.trees(rows, RANKS)
+    for batch in range(3):
+        edits = []
+        for d in rng.sample(sorted(texts), 20):
+            todo = [(rng.randrange(len(texts[d]) + 2), rng.choice([None, 0, 1, 40]), rng.choice([None, "", "'s", " new words", "x" * 400])) for _ in range(rng.randrange(4))]
+            edits.append((d, todo))
+            for at, length, new in todo:
+                at = min(at, len(texts[d]))
+                texts[d] = texts[d][:at] + (new or "") + texts[d][at + (length or 0) :]
+        table = spark.createDataFrame(edits, "doc_id long, edits array<struct<start: int, length: int, replacement: string>>")
+        state = token_counts.save(token_counts.edited(state.join(table, "doc_id", "left"), F.col("edits"), RANKS), "edited")
+        found = state.collect()
+        assert {r.doc_id: (r.text, r.n_tokens, r.n_chars) for r in found} == {d: (t, len(encoding.encode_ordinary(t)), len(t)) for d, t in texts.items()}
+        untouched = {*texts} - {d for d, todo in edits if todo}
+        assert untouched and all(r.pieces_reencoded == 0 for r in found if r.doc_id in untouched)
+        assert sum(r.pieces_reencoded for r in found) < sum(r.pieces for r in found)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
