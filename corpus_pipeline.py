@@ -1,58 +1,5 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read again as the next one's input.
+"""The pipeline of the llm subpackage: STAGES, run(spark, sf_dir), ORACLE_SQL."""
 
-language_id  drops documents whose language can't be told.
-line_dedup   drops lines that an earlier document has, and documents that had text but have none left.
-simhash      keeps one document of each group of near duplicates (five-word shingles, similarity 0.8 or more).
-mixing       takes documents, whole and up to twice, until each source has its target; range-sorted by position.
-byte_bpe     encodes every text: the documents' columns but text, n_tokens, ids (binary, little-endian unsigned 32-bit).
-"""
+from corpusforge.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corpusforge.llm import bpe, language_id, line_dedup, mixing, simhash
-from corpusforge.llm.common import save, table
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep_identified(docs)
-
-
-def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.without_recurring_lines(docs)
-    emptied = (F.col("lines_dropped") > 0) & (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) == "")
-    return cleaned.filter(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
-
-
-def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_rows(docs, bpe.public_path("byte_bpe_50k.tiktoken"))
-
-
-STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", drop_recurring_lines),
-    ("simhash", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("byte_bpe", encode_tokens),
-]
-
-#: SQL can express neither the network nor the fingerprints. tests/llm runs the stages in turn and checks columns and rows;
-#: a brute-force comparison of whole results is still to be written.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
