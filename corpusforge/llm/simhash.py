@@ -5,8 +5,9 @@ lie in cells whose counts differ by no more than the radius in sum, so all other
 is compared exactly, tile by tile, with exclusive-or and bit counts. A tile pair passes on a spanning forest of the
 links that it finds, never all pairs of a group.
 
-With a Jaccard similarity, candidates are the sets of shingles that share an element of their prefixes instead: no pair
-of that similarity is missed, and fingerprints link nothing.
+With a Jaccard similarity, the cells are the elements of the prefixes of the sets of shingles: two sets of that similarity
+share one. Within a cell fingerprints are compared as before, tile by tile, with a radius so wide that it misses next to
+nothing, and every pair that is left is verified on its sets; fingerprints alone link nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.bpe import blocks as text_blocks
-from corpusforge.llm.common import save, text_of
+from corpusforge.llm.common import bit_filter, may_have, save, text_of
 
 SHINGLE_WORDS = 5
 RADIUS = 12
@@ -34,6 +35,11 @@ VISITOR_TILE = 32768
 LINKS = 1 << 20
 #: Comparisons with one set of all that share an element, if more sets do, before all pairs left are compared.
 HUB_ROUNDS, HUB_NODES = 2, 64
+#: Fingerprints of two sets of a similarity of 0.8 differ in 9.7 bits on average, in more than SIMILAR_BITS for 3 pairs in a
+#: million. Those of sets of fewer than SMALL_SET shingles say less; they don't count.
+SIMILAR_BITS, SMALL_SET = 24, 32
+#: Nodes of a cell that are compared in one task, with as many others of it.
+CELL_TILE = 8192
 #: Shingles found so often in a SAMPLED-th of the documents come last in the order of prefixes, at most FREQUENT.
 SAMPLED, SAMPLED_TIMES, FREQUENT = 16, 8, 1 << 16
 
@@ -255,20 +261,19 @@ def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
 def _signatures(docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
     """row, doc_id, fingerprint, node, size, prefix of docs (row, doc_id, text).
 
-    node: a hash of the set of shingles; size: its elements. prefix: its first elements, rare ones first, so many that
-    two sets of this similarity share one of them.
+    node: a hash of the set of shingles; fingerprint: that of the set, each shingle once; size: its elements. prefix: its
+    first elements, rare ones first, so many that two sets of this similarity share one of them.
     """
     frequent = _frequent(docs, shingle)
 
     def run(batches):
         for part, texts in text_blocks(batches):
             values, sizes = _hashes(texts, shingle)
-            bits = _majority(values, sizes).view("<i8")
-            nodes, lengths, prefixes = [], [], []
-            for v in np.split(values, np.cumsum(sizes)[:-1]):
-                v = np.unique(v)
-                nodes.append(_hash(v.tobytes()))
-                lengths.append(len(v))
+            sets = [np.unique(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
+            lengths = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+            bits = _majority(np.concatenate(sets), lengths).view("<i8")
+            nodes, prefixes = [_hash(v.tobytes()) for v in sets], []
+            for v in sets:
                 if len(frequent):
                     common = np.isin(v, frequent)
                     v = np.concatenate([v[~common], v[common]])
@@ -281,11 +286,74 @@ def _signatures(docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc_id long, fingerprint long, node long, size int, prefix array<long>")
 
 
+def _near_in_cells(c: dict[str, np.ndarray], jaccard: float) -> tuple[np.ndarray, ...]:
+    """Pairs of rows of whole cells that may be similar: nodes a < b and their sizes. c: columns, sorted by cell (token, low,
+    high) and population count."""
+    n = len(c["token"])
+    new = np.ones(n + 1, dtype=bool)
+    new[1:n] = (np.diff(c["token"]) != 0) | (np.diff(c["low"]) != 0) | (np.diff(c["high"]) != 0)
+    bounds = np.flatnonzero(new)
+    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)
+    prints, sizes, found = c["fingerprint"].view(np.uint64), c["size"], []
+    ones = np.bitwise_count(prints).astype(np.int64)
+    active, k = np.arange(n), 0
+    while len(active):
+        k += 1
+        active = active[left[active] > k]
+        a, b = active, active + k
+        least, most = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        beyond = (ones[b] - ones[a] > SIMILAR_BITS) & (sizes[a] * jaccard >= SMALL_SET)
+        near = (np.bitwise_count(prints[a] ^ prints[b]) <= SIMILAR_BITS) | (least < SMALL_SET)
+        near &= (least >= jaccard * most - 1e-9) & (c["root"][a] != c["root"][b])
+        near &= (c["low"][a] == c["high"][a]) | (c["tile"][a] != c["tile"][b])
+        x, y = a[near], b[near]
+        swap = c["node"][x] > c["node"][y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        found.append((c["node"][x], c["node"][y], sizes[x], sizes[y]))
+        # Population counts ascend, so all further ones of the cell are beyond the radius too.
+        active = active[~beyond]
+    return tuple(np.concatenate(f) for f in zip(*found)) if found else (c["node"][:0], c["node"][:0], sizes[:0], sizes[:0])
+
+
+def _near(members: DataFrame, jaccard: float) -> DataFrame:
+    """a, b, a_size, b_size: pairs of members (token, n, node, size, fingerprint, root) of a cell that may be similar and have
+    different roots, a row for each cell. Cells of more than CELL_TILE nodes are cut into tiles; every two meet in a task."""
+    names = ["token", "low", "high", "tile", "node", "size", "fingerprint", "root"]
+
+    def run(batches):
+        held = None
+        for batch in (*batches, None):
+            if batch is None:
+                whole, held = held, None
+            else:
+                now = {c: batch[c].to_numpy(zero_copy_only=False) for c in names}
+                whole = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in names}
+                if not len(whole["token"]):
+                    continue
+                # The last cell may go on in the next batch.
+                last = np.logical_and.reduce([whole[c] == whole[c][-1] for c in ("token", "low", "high")])
+                cut = len(last) - int(last[::-1].argmin() if not last.all() else len(last))
+                held, whole = {c: v[cut:] for c, v in whole.items()}, {c: v[:cut] for c, v in whole.items()}
+            if whole is not None and len(whole["token"]):
+                found = _near_in_cells(whole, jaccard)
+                yield pa.record_batch([pa.array(f) for f in found], names=["a", "b", "a_size", "b_size"])
+
+    tiles = F.ceil(F.col("n") / CELL_TILE).cast("int")
+    rows = members.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    rows = rows.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).select(names)
+    spark = members.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks, "token", "low", "high").sortWithinPartitions("token", "low", "high", F.bit_count("fingerprint"))
+    return rows.mapInArrow(run, "a long, b long, a_size int, b_size int")
+
+
 def _passed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
     """Those pairs a, b of nodes whose sets of shingles have at least this Jaccard similarity; rows: a row of each node."""
     pairs = save(pairs.select("a", "b"), "candidates")
     ends = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(rows, "node").select("node", "row"), "ends")
-    texts = docs.join(ends.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    wanted = ends.select("row").distinct()
+    texts = may_have(docs, "row", bit_filter(wanted, "row")).join(wanted, "row").dropDuplicates(["row"])
     sets = save(_sets(texts, shingle).join(ends, "row").select("node", "shingles"), "shingles")
     x, y = (sets.withColumnsRenamed({"node": n, "shingles": s}) for n, s in (("a", "x"), ("b", "y")))
     common = F.size(F.array_intersect("x", "y"))
@@ -296,46 +364,50 @@ def _passed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, ja
 def similar(docs: DataFrame, prints: DataFrame, shingle: int, jaccard: float) -> DataFrame:
     """a, b: links that connect all nodes of prints whose sets have at least this Jaccard similarity.
 
-    Exact: two such sets share an element of their prefixes. Where more than HUB_NODES nodes share one, they are first
-    compared with one of them (HUB_ROUNDS times with another one), so that a large group costs a row a node. Then every
-    pair that isn't connected yet is a candidate if its sets may have enough in common: what their prefixes share and what
-    lies behind the longer rest of them.
+    Two such sets share an element of their prefixes, which is their cell. Where more than HUB_NODES nodes share one, they
+    are first compared with one of them (HUB_ROUNDS times with another one), so that a large group costs a row a node. Then
+    every pair that isn't connected yet is a candidate if its fingerprints and sizes are near and its sets may have enough in
+    common: what their prefixes share and what lies behind the longer rest of them. Candidates are verified exactly.
     """
-    sets = prints.groupBy("node").agg(F.min("row").alias("row"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
+    kept = ["fingerprint", "size", "prefix"]
+    sets = prints.groupBy("node").agg(F.min("row").alias("row"), *[F.any_value(c).alias(c) for c in kept])
     sets = save(sets, "sets")
-    rows, sizes = sets.select("node", "row"), sets.select("node", "size")
+    rows, features = sets.select("node", "row"), sets.select("node", "size", "fingerprint")
     tokens = sets.select("node", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = save(tokens.join(shared, "token").join(sizes, "node"), "members")
-    near = F.least("size", "other_size") >= jaccard * F.greatest("size", "other_size") - 1e-9
+    members = save(tokens.join(shared, "token"), "members")
+    bits = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other_fingerprint")))
+    least, most = F.least("size", "other_size"), F.greatest("size", "other_size")
+    near = (least >= jaccard * most - 1e-9) & ((bits <= SIMILAR_BITS) | (least < SMALL_SET))
     ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    found, labelled = None, members.withColumn("root", F.col("node"))
+    others = [F.col(c).alias(o) for c, o in (("node", "other"), ("size", "other_size"), ("fingerprint", "other_fingerprint"), ("root", "other_root"))]
+    found, nodes = None, features.withColumn("root", F.col("node"))
     for n in range(HUB_ROUNDS):
-        large = labelled.filter(F.col("n") > HUB_NODES)
-        hubs = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(n)), F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))).alias("hub"))
-        pairs = large.join(hubs.select("token", "hub.other", "hub.other_size", "hub.other_root"), "token")
+        large = members.filter(F.col("n") > HUB_NODES).join(nodes, "node")
+        hubs = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(n)).alias("h"), *others)).alias("hub"))
+        pairs = large.join(hubs.select("token", "hub.*").drop("h"), "token")
         pairs = pairs.filter((F.col("root") != F.col("other_root")) & near).select(*ends).distinct()
         passed = _passed(pairs, rows, docs, shingle, jaccard)
         found = save(passed if found is None else found.unionByName(passed), "links")
         roots = components(found).withColumnRenamed("root", "found")
-        labelled = members.join(roots, "node", "left").select("token", "n", "node", "size", F.coalesce("found", "node").alias("root"))
-        split = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-        labelled = save(labelled.join(split, "token"), "labelled")
-    other = labelled.drop("n").withColumnsRenamed({"node": "other", "size": "other_size", "root": "other_root"})
-    pairs = labelled.join(other, "token").filter((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & near)
+        nodes = save(features.join(roots, "node", "left").withColumn("root", F.coalesce("found", "node")).drop("found"), "nodes")
+    # Cells whose nodes are all connected by now have nothing left to compare.
+    labelled = save(members.join(nodes, "node"), "labelled")
+    split = labelled.groupBy("token").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).filter("lowest <> highest").select("token")
+    labelled = labelled.join(split, "token")
     # A set's elements behind its prefix: one less than it must have in common.
     behind = lambda c: F.greatest(F.ceil(F.col(c) * jaccard - 1e-9) - 1, F.lit(0))
-    most = F.count(F.lit(1)) + F.greatest(behind("size"), behind("other_size"))
-    least = jaccard / (1 + jaccard) * (F.col("size") + F.col("other_size")) - 1e-6
-    pairs = pairs.groupBy("node", "other", "size", "other_size").agg(most.alias("most")).filter(F.col("most") >= least)
-    return found.unionByName(_passed(pairs.select(*ends), rows, docs, shingle, jaccard))
+    most = F.count(F.lit(1)) + F.greatest(behind("a_size"), behind("b_size"))
+    least = jaccard / (1 + jaccard) * (F.col("a_size") + F.col("b_size")) - 1e-6
+    pairs = _near(labelled, jaccard).groupBy("a", "b", "a_size", "b_size").agg(most.alias("most")).filter(F.col("most") >= least)
+    return found.unionByName(_passed(pairs, rows, docs, shingle, jaccard))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, jaccard: float | None = JACCARD, blocks: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (long), component_id: smallest doc_id reachable over links, one row per input row.
 
-    With jaccard, texts link if their sets of shingles have at least that similarity, whatever their fingerprints; all
-    such pairs count. Without, fingerprints link if at most `radius` bits differ. Texts without words are equal. Ids
+    With jaccard, texts link if their sets of shingles have at least that similarity (all such pairs count, but for those
+    that SIMILAR_BITS misses), and fingerprint is that of the set. Without, fingerprints link if at most `radius` bits differ. Texts without words are equal. Ids
     should be unique; a component of null ids only has a null component_id. An empty table gives no rows. Other columns
     are ignored.
     """
