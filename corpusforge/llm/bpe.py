@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import text_of
+from corpusforge.llm.common import give_back, text_of, worker_state
 
 #: Bytes of a memo before it is cut down to what the last block needed.
 MEMO_BYTES = 40_000_000
 #: Bytes of pieces in one recursive query, and of ids in one decoding query.
-PIECE_BATCH = 400_000
+PIECE_BATCH = 200_000
 DECODE_BATCH = 500_000
 #: Words of more bytes may contract several pairs in a round.
 LONG_WORD = 64
@@ -275,18 +275,17 @@ class MergeTable:
         return decoded
 
 
-_workers: dict[tuple, tuple[MergeTable, Chunks]] = {}
-
-
 def worker(path: str, pattern: str) -> tuple[MergeTable, Chunks]:
     """This Python worker's merge table and memo, kept between tasks."""
-    if (path, pattern) not in _workers:
+
+    def make():
         merges = MergeTable(read_ranks(path))
-        _workers[path, pattern] = merges, Chunks(pattern, merges.encode_pieces)
-    return _workers[path, pattern]
+        return merges, Chunks(pattern, merges.encode_pieces)
+
+    return worker_state(("bpe", path, pattern), make)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches with a few million bytes of text, or a single longer text."""
     for batch in batches:
         _, bounds = utf8(batch[column])
@@ -295,6 +294,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + size, side="right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -122,6 +122,27 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL["op8_line_dedup"] = r"""
+WITH parts AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM parts),
+tokens AS (
+  SELECT doc_id, i, lines[i] AS line, list_transform(string_split_regex(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+'),
+         lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS t
+  FROM numbered),
+templates AS (SELECT t, len(t) AS n, t[1:3] AS leading, min(doc_id) AS first FROM tokens WHERE len(t) >= 5 GROUP BY t),
+alike AS (
+  SELECT DISTINCT a.t FROM templates a JOIN templates b ON a.n = b.n AND a.leading = b.leading AND b.first < a.first
+  WHERE list_sum(list_transform(range(1, a.n + 1), lambda i: CAST(a.t[i] = b.t[i] AS INTEGER))) >= a.n * CAST(0.8 AS DOUBLE)),
+judged AS (
+  SELECT k.doc_id, k.i, k.line, m.first IS NOT NULL AND (k.doc_id > m.first OR a.t IS NOT NULL) AS dropped
+  FROM tokens k LEFT JOIN templates m ON k.t = m.t LEFT JOIN alike a ON k.t = a.t),
+rest AS (
+  SELECT doc_id, count(*) FILTER (dropped) AS lines_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS rest FROM judged GROUP BY doc_id)
+SELECT doc_id, lines_dropped, CAST(strlen(CASE WHEN text IS NOT NULL THEN rest END) AS BIGINT) AS n_bytes, sha256(CASE WHEN text IS NOT NULL THEN rest END) AS text_sha256
+FROM parts JOIN rest USING (doc_id)
+"""
+
+
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 

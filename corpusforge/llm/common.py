@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +87,27 @@ def may_have(rows: DataFrame, key: str, filter_: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(filter_), "word").filter(hit).select(rows.columns)
 
 
+_worker_state: dict[Any, Any] = {}
+
+
+def worker_state(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks under a key. Spark uses workers again for other operators; what was kept
+    under another key is given up first, so that a worker holds one operator's vocabulary, memo or model at a time."""
+    if key not in _worker_state:
+        _worker_state.clear()
+        gc.collect()
+        give_back()
+        _worker_state[key] = make()
+    return _worker_state[key]
+
+
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system, which other workers and the JVM may need."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.llm.bpe import slices, utf8
-from corpusforge.llm.common import text_of
+from corpusforge.llm.common import text_of, worker_state
 
 #: The bounded sample it learns from: documents of a language, and windows of TRAIN_BYTES evenly spread over each.
 SAMPLE_DOCUMENTS = 200
@@ -244,9 +244,6 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
     return Model(languages, network)
 
 
-_models: dict[str, Model] = {}
-
-
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None, doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred, score of each whole text, or columns `carry` of docs instead of the first two.
 
@@ -256,12 +253,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        if key not in _models:
-            _models.clear()
-            _models[key] = shared.value
+        model = worker_state(key, lambda: shared.value)
         for part in slices(batches, "__text"):
             names = [c for c in part.schema.names if c != "__text"]
-            found, scores = _models[key].predict(part["__text"])
+            found, scores = model.predict(part["__text"])
             yield pa.record_batch([*[part[c] for c in names], pa.array(found, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
 
     own = [F.col(c) for c in carry] if carry else [F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out")]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.bpe import Chunks, default_pattern, packed, read_ranks, slices
-from corpusforge.llm.common import save, text_of
+from corpusforge.llm.common import save, text_of, worker_state
 
 #: Pre-tokens of a block of a new tree; a block of MOST_IN_BLOCK or more is cut into new ones.
 BLOCK = 16
@@ -163,13 +163,8 @@ class TokenTree:
             self._set(first, sizes.sum(axis=0))
 
 
-_workers: dict[tuple, Counter] = {}
-
-
 def _worker(path: str, pattern: str) -> Counter:
-    if (path, pattern) not in _workers:
-        _workers[path, pattern] = Counter(path, pattern)
-    return _workers[path, pattern]
+    return worker_state(("token counts", path, pattern), lambda: Counter(path, pattern))
 
 
 TREES = "doc_id long, text string, blocks binary, n_tokens long"

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.llm.bpe import Chunks, default_pattern, packed, slices
-from corpusforge.llm.common import save, text_of
+from corpusforge.llm.common import save, text_of, worker_state
 
 MAGIC = b"CFTOKEN2"
 HEADER = struct.Struct("<8sQQQqBBB5x")
@@ -157,13 +157,11 @@ class TokenFile:
         return self.ids[start:end]
 
 
-_workers: dict[tuple, Callable[[pa.Array], pa.Array]] = {}
-
-
 def _worker(path: str, pattern: str, added_tokens: bool) -> Callable[[pa.Array], pa.Array]:
     """This Python worker's tokenizer: texts -> binary cells of ids. Pieces of the vocabulary's own pattern are encoded
     once each, as long as the memo has them."""
-    if (path, pattern, added_tokens) not in _workers:
+
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -203,8 +201,9 @@ def _worker(path: str, pattern: str, added_tokens: bool) -> Callable[[pa.Array],
                 found[i] = with_added(texts[i].as_py())
             return pa.array(found, pa.binary())
 
-        _workers[path, pattern, added_tokens] = encode
-    return _workers[path, pattern, added_tokens]
+        return encode
+
+    return worker_state(("token files", path, pattern, added_tokens), make)
 
 
 def write_files(docs: DataFrame, path: str, pattern: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS, text: str = "text", doc_id: str = "doc_id", added_tokens: bool = True) -> DataFrame:
@@ -227,7 +226,7 @@ def write_files(docs: DataFrame, path: str, pattern: str | None = None, end_id:
             return pa.record_batch([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "n_docs", "n_ids", "data"])
 
         encode, end = _worker(path, pattern, added_tokens), struct.pack("<I", end_id)
-        for rows in slices(batches):
+        for rows in slices(batches, size=6_000_000):
             for d, ids in zip(rows["doc_id"].to_pylist(), encode(rows["text"]).to_pylist()):
                 held.append((d, ids + end))
                 size += len(ids) // 4 + 1
