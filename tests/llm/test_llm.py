@@ -518,6 +518,139 @@ def test_trees_take_batch_after_batch_of_edits(spark, docs, encoding):
         assert sum(r.pieces_reencoded for r in found) < sum(r.pieces for r in found)
 
 
+def brute_line_drops(docs):
+    """Texts without recurring lines and how many went; docs: (id, text), ids unique but for None, which comes last."""
+    lines, order = {}, lambda d: 2**63 - 1 if d is None else d
+    for d, text in docs:
+        for line in (text or "").split("\n"):
+            tokens = tuple("<*>" if re.search(r"[0-9@]|://", w) else w for w in re.split(r"[\x20\x09-\x0D]+", line.strip(" \t\n\x0b\x0c\r")))
+            if len(tokens) >= 5:
+                lines.setdefault((len(tokens), tokens[:3]), []).append((order(d), tokens, line))
+    found = []
+    for d, text in docs:
+        kept, parts = [], (text or "").split("\n")
+        for line in parts:
+            mine = next(((leaf, t) for leaf, rows in lines.items() for o, t, x in rows if x == line and o == order(d)), None)
+            gone = mine and any(o < order(d) and t == mine[1] for o, t, _ in lines[mine[0]])
+            if mine and not gone:
+                first = min(o for o, t, _ in lines[mine[0]] if t == mine[1])
+                gone = any(o < first and sum(map(str.__eq__, t, mine[1])) >= 0.8 * len(t) for o, t, _ in lines[mine[0]])
+            if not gone:
+                kept.append(line)
+        found.append(("\n".join(kept) if len(kept) < len(parts) else text, len(parts) - len(kept)))
+    return found
+
+
+def brute_mix(rows):
+    """rows (id, text, source) as often as they are taken, in order."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, ramp = dict(zip(order, [3, 1, 2] * 9)), dict(zip(order, [-0.5, 0.0, 0.5] * 9))
+    target, open_ = {}, set(order)
+    while open_:
+        left = 1.5 * sum(sizes.values()) - sum(target.values())
+        level = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = {s for s in open_ if level[s] > 2 * sizes[s]}
+        target |= {s: 2.0 * sizes[s] for s in over} if over else level
+        open_ = open_ - over if over else set()
+    found = []
+    for s in order:
+        key = lambda r: int(hashlib.md5(f"{'' if r[0] is None else r[0]}:{size(r[1])}".encode()).hexdigest()[:15], 16)
+        offset = 0
+        for r in sorted((r for r in rows if r[2] == s), key=lambda r: (key(r), r[0] is not None, r[0] or 0)):
+            passes = int(target[s] // sizes[s]) if sizes[s] else 0
+            copies = passes + (size(r[1]) > 0 and offset + size(r[1]) / 2 <= target[s] - passes * sizes[s])
+            for c in range(copies):
+                share = min(1.0, (offset + c * sizes[s] + size(r[1]) / 2) / target[s])
+                flat = 1 - ramp[s]
+                position = share if ramp[s] == 0 else (np.sqrt(flat * flat + 4 * ramp[s] * share) - flat) / (2 * ramp[s])
+                found.append((position, r[0] is not None, r[0] or 0, c, r))
+            offset += size(r[1])
+    return [(r, p) for p, *_, r in sorted(found, key=lambda x: x[:4])]
+
+
+def test_mix_is_in_the_order_of_positions(spark, docs):
+    rows = [(i, "w " * (i * 7 % 13), f"s{min(i % 9, 4)}" if i % 11 else None) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"from": F.lit(1), "range": F.lit(2), "row": F.lit(3)})
+    found = mixing.mix(table.repartition(5)).collect()
+    expected = brute_mix(rows)
+    assert [r.doc_id for r in found] == [r[0] for r, _ in expected] and len(expected) > 400
+    assert mixing.mix(table).columns == table.columns
+
+
+def small_corpus():
+    rng = random.Random(12)
+    words = {"en": "the and with that this from have were which their".split(), "de": "der und mit dass diese von haben waren welche ihre".split()}
+    rows = []
+    for i in range(1, 100):
+        lang = ["en", "de"][i % 2]
+        lines = [" ".join(rng.choices([*words[lang], f"{lang}w{rng.randrange(300)}"], k=rng.choice([3, 8, 30]))) for _ in range(rng.choice([1, 2, 4]))]
+        if i % 5 == 0:
+            lines.insert(rng.randrange(len(lines) + 1), f"This page was seen {i} times by all of the visitors")
+        rows.append((i, "\n".join(lines), lang, ["a", "b", "c", None][i % 4], 0))
+    base = " ".join(f"the{i} and" for i in range(120))
+    rows += [(200 + i, base.replace(f"the{i * 20} ", f"other{i} "), "en", "a", 0) for i in range(4)]
+    rows += [(300, None, "en", "a", 0), (301, "", "de", "b", 0), (302, "12 ?", None, "a", 0), (304, "the and " * 30_000, "en", "b", 0)]
+    rows += [(None, "the and with that this no id here at all", "en", "a", 0), (305, "this from have", "en", None, 0), (306, "this from have", "en", "c", 0)]
+    return rows
+
+
+def test_pipeline_against_brute_force(spark, encoding, tmp_path):
+    from corpusforge.llm import pipeline
+
+    rows = small_corpus()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, position int, `range` int, node int, n_tokens int"
+    table = spark.createDataFrame([(*r, "s", 1, 2, 3, 4) for r in rows], schema)
+    table.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = pipeline.run(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "lang", "source", "n_chars", "score", "position", "range", "node", "n_tokens", "ids"]
+    model = language_id.train(table)
+    kept = []
+    for d, text, lang, source, _ in rows:
+        if text and any(map(str.isalpha, text)):
+            data, sums = text.encode(), np.zeros(len(model.languages))
+            if len(data) > 5000:  # one of a thousand windows is as good as all where all are alike
+                data = data[:5000]
+            for i in range(0, len(data), language_id.WINDOW_BYTES):
+                start, stop = max(0, i - language_id.CONTEXT_BYTES), min(i + language_id.WINDOW_BYTES, len(data))
+                labels = naive_states(model.network, [data[start : stop + language_id.CONTEXT_BYTES]])[0]
+                sums += labels[i - start : stop - start].sum(axis=0)
+            if sums.max() / len(data) >= language_id.LEAST_SCORE:
+                kept.append((d, text, source))
+    assert len(kept) > 80 and 300 not in [r[0] for r in kept]
+    lined = [(d, t, s) for (d, _, s), (t, n) in zip(kept, brute_line_drops([r[:2] for r in kept])) if not (n and not t.strip(" \t\n\x0b\x0c\r"))]
+    assert len(lined) < len(kept)
+    ids = {*brute_kept([(d, t) for d, t, _ in lined if d is not None]), None}
+    single = [r for r in lined if r[0] in ids]
+    assert len(single) < len(lined)
+    expected = Counter((r[0], r[2], len(r[1]), packed(encoding.encode_ordinary(r[1]))) for r, _ in brute_mix(single))
+    assert Counter((r.doc_id, r.source, r.n_chars, bytes(r.ids)) for r in found.collect()) == expected
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    from corpusforge.llm import pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_sql_agrees(spark):
+    import duckdb
+
+    from corpusforge.llm import catalogue
+
+    db, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    for name, sql in catalogue.SQL.items():
+        rows = catalogue.QUERIES[name](spark, sf)
+        columns = sorted(rows.columns)
+        expected = db.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+        assert sorted(map(repr, map(tuple, rows.select(columns).collect()))) == sorted(map(repr, expected)) and expected, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
