@@ -6,7 +6,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -37,8 +37,16 @@ def clean_text(text: Column, entities: bool = True) -> Column:
 
 
 def word_count(cleaned: Column) -> Column:
-    """Words of a clean text; a script without spaces counts as one word."""
-    return F.when(cleaned == "", F.lit(0)).otherwise(F.size(F.split(cleaned, " "))).cast("long")
+    """Words of a clean text; a script without spaces counts as one word. The text is named once, so it is made once."""
+    return F.size(F.array_remove(F.split(cleaned, " "), "")).cast("long")
+
+
+def computed_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with these columns, made once a row whatever follows: as plain columns, every filter and projection behind them
+    would have a copy of their expressions, regular expressions and entity decoding included."""
+    made = rows.select("*", F.struct(*[v.alias(c) for c, v in columns.items()]).alias("_made"))
+    others = [c for c in rows.columns if c not in columns]
+    return made.select(*others, F.explode(F.array("_made")).alias("_made")).select(*others, *[F.col(f"_made.{c}").alias(c) for c in columns])
 
 
 def least_characters(words: int) -> int:

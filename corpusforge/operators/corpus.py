@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.localized import languages_of, pick_text
-from corpusforge.functions.text import clean_text, context, first_claim, word_count
+from corpusforge.functions.text import clean_text, computed_once, context, first_claim, word_count
 from corpusforge.schemas import CORPUS_COLUMNS, LANGUAGES, MIN_WORDS, SOURCE_NAME
 
 
@@ -49,7 +49,7 @@ def capped(rows: DataFrame, cap: int | None) -> DataFrame:
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({c: clean_text(F.col(c)) for c in ("title", "abstract")})
+    return computed_once(rows, {c: clean_text(F.col(c)) for c in ("title", "abstract")})
 
 
 def _claim(pubs: DataFrame) -> Column:
@@ -82,9 +82,9 @@ def preprocess(pubs: DataFrame, languages: list[str] | None = None, per_language
 def merge(corpus: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
     """Every text column cleaned once more, which leaves single spaces in contexts, and the gate applied again."""
     texts = ["title", "abstract", "description", "first_claim", "context"]
-    rows = gated(corpus.withColumns({c: clean_text(F.col(c)) for c in texts}), least_words)
+    rows = gated(computed_once(corpus, {c: clean_text(F.col(c)) for c in texts}), least_words)
     rebuilt = context(F.col("title"), F.col("abstract"), F.col("first_claim"))
-    return rows.withColumn("context", F.when(F.col("context") == "", rebuilt).otherwise(F.col("context")))
+    return rows.withColumn("context", F.when(F.col("context") == "", rebuilt).otherwise(F.col("context"))).select(corpus.columns)
 
 
 def in_output_order(corpus: DataFrame, languages: list[str] | None = None) -> DataFrame:
