@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions.text import squeeze
+from corpusforge.functions.text import computed_once, squeeze
 
 
 def exact_dedupe(docs: DataFrame) -> DataFrame:
@@ -38,14 +40,69 @@ def answers_in_context(items: DataFrame, docs: DataFrame, words: int = 8) -> Dat
     return candidates.filter(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
 
 
-def embedding_neighbours(vectors: DataFrame, threshold: float) -> DataFrame:
-    """label, n: pairs of vectors of one label whose cosine reaches the threshold."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    unit = unit.withColumn("norm", F.sqrt(dot("v", "v")))
-    other = unit.select(F.col("vec_id").alias("o"), F.col("label").alias("ol"), F.col("v").alias("ov"), F.col("norm").alias("onorm"))
-    pairs = unit.join(other, (F.col("label") == F.col("ol")) & (F.col("vec_id") < F.col("o")))
-    return pairs.filter(dot("v", "ov") / (F.col("norm") * F.col("onorm")) >= threshold).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+#: Vectors on either side of a comparison of near_vectors.
+VECTOR_TILE = 4096
+
+
+def near_vectors(vectors: DataFrame, threshold: float, tile: int = VECTOR_TILE) -> DataFrame:
+    """vec_id, links, smallest for each vector that isn't null or zero: how many others have a cosine of at least threshold
+    with it, and the smallest id among these and its own.
+
+    Every vector is compared with all others of its length, whatever its label, in tiles; a tile gives counts, not pairs.
+    Work grows with the square of the table: this checks a finished benchmark, it does not search a corpus.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.filter(F.exists("v", lambda x: x != 0)).withColumn("dims", F.size("v"))
+    tiles = rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    rows = rows.join(tiles, "dims").withColumn("own", F.pmod(F.xxhash64("vec_id"), "tiles").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        ids, unit = part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy())
+        unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
+        links, smallest = np.zeros(len(ids), dtype=np.int64), ids.copy()
+        both = part["low"].iat[0] == part["high"].iat[0]
+        for start in range(0, len(ids), 512):
+            some = slice(start, start + 512)
+            near = unit[some] @ unit.T >= threshold
+            near &= (ids[some, None] != ids) if both else part["own"].to_numpy()[some, None] != part["own"].to_numpy()
+            links[some] = near.sum(axis=1)
+            smallest[some] = np.minimum(ids[some], np.where(near, ids, ids.max()).min(axis=1))
+        return pd.DataFrame({"vec_id": ids, "links": links, "smallest": smallest})
+
+    found = rows.groupBy("dims", "low", "high").applyInPandas(compare, "vec_id long, links long, smallest long")
+    return found.groupBy("vec_id").agg(F.sum("links").alias("links"), F.min("smallest").alias("smallest"))
+
+
+def minhash_near(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
+    """doc_id, near_id: documents that are near duplicates of one with a smaller id, and the smallest such one that was found.
+
+    Candidates share a band of minimum hashes with the band's smallest id, which a pair of similarity 0.8 does with a
+    probability of 0.99997; each is verified on its sets of shingles, so every row is right.
+    """
+    # Words and shingles are made once: as plain columns they would be made anew for each shingle and each minimum hash.
+    split = computed_once(docs.select("doc_id", "text"), {"w": F.split(squeeze(F.lower("text")), " ")})
+    last = F.greatest(F.size("w") - words, F.lit(0))
+    shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("w", i + 1, words))))
+    sets = computed_once(split.select("doc_id", "w"), {"set": shingles}).select("doc_id", "set")
+    least = lambda k: F.array_min(F.transform("set", lambda s: F.xxhash64(s, F.lit(k))))
+    keys = F.array(*[F.xxhash64(F.lit(b), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
+    banded = sets.select("doc_id", F.explode(keys).alias("band"))
+    first = banded.groupBy("band").agg(F.min("doc_id").alias("near_id"), F.max("doc_id").alias("last_id")).filter("near_id < last_id")
+    pairs = banded.join(first.drop("last_id"), "band").filter("doc_id > near_id").select("doc_id", "near_id").distinct()
+    both = pairs.join(sets, "doc_id").join(sets.withColumnsRenamed({"doc_id": "near_id", "set": "near"}), "near_id")
+    common = F.size(F.array_intersect("set", "near"))
+    alike = both.filter(common >= threshold * (F.size("set") + F.size("near") - common))
+    return alike.groupBy("doc_id").agg(F.min("near_id").alias("near_id"))
+
+
+def answer_support(pairs: DataFrame, answer: str = "answer", context: str = "context") -> DataFrame:
+    """pairs with support: the share of the answer's different words, in any case and without punctuation, that the context
+    has; 0 for an answer without words."""
+    words = lambda c: F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+")), "")
+    asked = F.size(words(answer))
+    return pairs.withColumn("support", F.when(asked == 0, 0.0).otherwise(F.size(F.array_intersect(words(answer), words(context))) / asked))
 
 
 #: A few very frequent words of each language.

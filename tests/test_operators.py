@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +117,33 @@ def test_first_claim_of_every_page(spark):
 
     assert found == {p.page_id: claim(p.html) for p in pages} and len(found) == len(pages)
     assert any("&" in c for c in found.values())
+
+
+def test_near_vectors_in_tiles(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 8))
+    v[50:60] = v[0] + rng.normal(0, 0.05, (10, 8))
+    rows = [(i, x.tolist(), i % 3) for i, x in enumerate(v)] + [(900, [0.0] * 8, 1), (901, None, 1), (902, [1.0, 2.0], 1)]
+    found = {r.vec_id: (r.links, r.smallest) for r in quality.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.9, tile=70).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    expected = {i: (int(near[i].sum()) - 1, int(np.flatnonzero(near[i])[0])) for i in range(300)}
+    assert found == expected | {902: (0, 902)} and found[55][0] >= 10
+
+
+def test_minhash_near(spark):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choices([f"w{k}" for k in range(400)], k=120))) for i in range(60)]
+    texts += [(100 + i, t.replace(t.split()[60], "changed")) for i, t in texts[:20]] + [(200, ""), (201, None), (202, texts[0][1])]
+    found = {r.doc_id: r.near_id for r in quality.minhash_near(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets = {}
+    for d, t in texts:
+        words = " ".join((t or "").lower().split()).split(" ")
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    expected = {}
+    for d in sets:
+        for e in sorted(sets):
+            if e < d and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e]):
+                expected[d] = e
+                break
+    assert found == expected and len(expected) > 15
