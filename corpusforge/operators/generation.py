@@ -92,7 +92,7 @@ def _translations(provider: ModelProvider, context: str, pair: dict, languages:
             if verdict["approved"]:
                 done[language] = translated
                 break
-            feedback = verdict.get("reason") or "not fluent or faithful enough"
+            feedback = verdict.get("feedback") or verdict.get("reason") or "not fluent or faithful enough"
         else:
             failed.append(f"{language} (translation quality failed: {feedback})")
     return done, failed
@@ -131,6 +131,22 @@ def generate(sample: DataFrame, provider: Callable[[], ModelProvider] = OfflineP
     return rows.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, SAMPLE_RESULT)
 
 
+def statuses(results: DataFrame) -> DataFrame:
+    """corpus_id, status and how many rows it gave, of each document in the order of the sample."""
+    return results.select("index", "corpus_id", "status", F.size("rows").alias("pairs")).orderBy("index").drop("index")
+
+
+def language_counts(results: DataFrame) -> DataFrame:
+    """language, pairs: what the whole run gave."""
+    return results.select(F.explode("rows").alias("row")).groupBy("row.language").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def template_questions(entities: DataFrame, templates: list[str]) -> DataFrame:
+    """corpus_id, entity, question: each template, with {} for the entity, of each of entities (corpus_id, entity)."""
+    filled = F.transform(F.array(*map(F.lit, templates)), lambda t: F.replace(t, F.lit("{}"), F.col("entity")))
+    return entities.filter(F.coalesce(F.trim("entity"), F.lit("")) != "").select("corpus_id", "entity", F.explode(filled).alias("question"))
+
+
 def pairs(results: DataFrame) -> DataFrame:
     """corpus_id, language, question, answer in the order of the sample, English first."""
     return results.select("index", F.posexplode("rows").alias("place", "row")).orderBy("index", "place").select("row.*")

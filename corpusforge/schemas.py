@@ -30,6 +30,7 @@ BROAD_OPENINGS = [
     "what is the main technical advantage of", "what is the purpose of", "what types of products", "what is the role of",
 ]
 QUESTION_TYPES = ["purpose", "application", "composition", "method", "property", "advantage", "operating_condition", "material_relationship", "other"]
+QUESTION_FAILURES = ["title-lift", "high-overlap", "overly-extractive", "broad-summary", "bundled-facts", "weak-query-shape"]
 TRANSLATION_FAILURES = [
     "none", "wrong-language", "meaning-error", "missing-technical-detail", "too-generic", "unnatural-phrasing",
     "grammar-morphology", "terminology-register", "translation-artifact",
