@@ -55,11 +55,14 @@ def _normal(x: str) -> str:
     return _strip(f"regexp_replace({_clean(x)}, '{_ONE}', '')")
 
 
+_ENTITIES = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+
+
 def _html_claim(x: str) -> str:
     block = rf"regexp_extract({x}, '<claim\b[^>]*>(.*?)</claim>', 1, 'is')"
     for pattern, flags in ((r"<chemistry\b.*?</chemistry>", "gis"), (r"</?claim-text\b[^>]*>", "gi"), (r"<[^>]+>", "g")):
         block = f"regexp_replace({block}, '{pattern}', ' ', '{flags}')"
-    return _normal(block)
+    return _normal(_ENTITIES.format(block))
 
 
 def _text_claim(x: str) -> str:
@@ -67,9 +70,6 @@ def _text_claim(x: str) -> str:
     return _normal(rf"regexp_extract({numbered}, '^(.*?)(?:{WS}2{WS}*[\.\):\-]{WS}+.*)?\z', 1, 's')")
 
 
-_ENTITIES = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
-
-
 # Text.
 @query("q_clean_text", f"SELECT doc_id, md5({_clean('text')}) AS cleaned FROM documents")
 def _(spark, sf):
@@ -84,7 +84,7 @@ def _(spark, sf):
 @query("q_word_gate", f"SELECT doc_id, CAST({_words('c')} AS BIGINT) AS words FROM (SELECT doc_id, {_clean('text')} AS c FROM documents) WHERE {_words('c')} >= 50")
 def _(spark, sf):
     words = text.word_count(text.clean_text(F.col("text")))
-    return fx.read(spark, sf, "documents").select("doc_id", words.alias("words")).filter("words >= 50")
+    return text.computed_once(fx.read(spark, sf, "documents").select("doc_id", "text"), {"words": words}).filter("words >= 50").select("doc_id", "words")
 
 
 @query("q_truncate", f"SELECT doc_id, {_truncated('c', 300)} AS snippet FROM (SELECT doc_id, {_clean('text')} AS c FROM documents)")
@@ -109,16 +109,13 @@ def _markup() -> Column:
     return F.replace(F.replace("html", F.lit("<p>"), F.lit("<claim>")), F.lit("</p>"), F.lit("</claim>"))
 
 
-@query("q_first_claim_html", f"SELECT page_id, {_html_claim(_MARKUP)} AS claim FROM pages WHERE html NOT LIKE '%<claim%' AND NOT contains({_html_claim(_MARKUP)}, '&')")
+@query("q_first_claim_html", f"SELECT page_id, {_html_claim(_MARKUP)} AS claim FROM pages")
 def _(spark, sf):
-    raw = text.claim_from_html(_markup(), entities=False)
-    return fx.read(spark, sf, "pages").filter(~F.col("html").contains("<claim")).select("page_id", raw.alias("claim")).filter(~F.col("claim").contains("&"))
+    return fx.read(spark, sf, "pages").select("page_id", text.claim_from_html(_markup()).alias("claim"))
 
 
-@query("q_first_claim_html_all")
-def _(spark, sf):
-    """Every page, entities decoded: the regular expressions of SQL can't decode them as HTML5 does."""
-    return fx.read(spark, sf, "pages").select("page_id", text.claim_from_html(_markup()).alias("claim"))
+#: The former name of the form that reads every page and decodes entities, which is the only one now.
+QUERIES["q_first_claim_html_all"], SQL["q_first_claim_html_all"] = QUERIES["q_first_claim_html"], SQL["q_first_claim_html"]
 
 
 _NUMBERED = "'1. ' || split_part(text, chr(10), 1) || ' 2. ' || split_part(text, chr(10), 2)"
@@ -194,10 +191,9 @@ def _(spark, sf):
     return rows.filter(selection.class_match() | F.col("has_match")).select("doc_id", "has_match")
 
 
-@query("q_date_country", "SELECT doc_id FROM classes WHERE publication_date BETWEEN 20240105 AND 20240120 AND country_code IN ('DE', 'FR')", _PUBS)
+@query("q_date_country", f"SELECT doc_id FROM classes WHERE {_BY_CLASS} AND publication_date BETWEEN 20240105 AND 20240120 AND country_code IN ('DE', 'FR')", _PUBS)
 def _(spark, sf):
-    rows = fx.publications(spark, sf)
-    return rows.filter(F.col("publication_date").between(20240105, 20240120) & F.col("country_code").isin("DE", "FR")).select("doc_id")
+    return selection.select_publications(fx.publications(spark, sf), start_date=20240105, end_date=20240120, country_codes=["DE", "FR"]).select("doc_id")
 
 
 _PRIMARY = f"(lang1 = 'en' AND length({_strip('text1')}) >= 300 OR coalesce(lang2 = 'en' AND length({_strip('text2')}) >= 300, false))"
@@ -217,6 +213,37 @@ def _(spark, sf):
     return rows.filter(selection.claim_gate(F.lit("en"))).select("page_id")
 
 
+_CLAIMED = """
+claimed AS (
+  SELECT *, CASE doc_id % 3 WHEN 0 THEN lang1 WHEN 1 THEN 'en' END AS claim_lang FROM classes),
+claim_pairs AS (
+  SELECT DISTINCT publication_number, publication_date, lang FROM (
+    SELECT *, lang1 AS lang, text1 AS text FROM claimed UNION ALL SELECT *, lang2, text2 FROM claimed WHERE text2 IS NOT NULL)
+  WHERE {by_class} AND length({stripped}) >= 300 AND claim_lang = lang),
+claim_chosen AS (SELECT DISTINCT publication_number FROM (
+  SELECT publication_number, row_number() OVER (PARTITION BY lang ORDER BY publication_date DESC, publication_number DESC) AS rn FROM claim_pairs) WHERE rn <= 5)"""
+
+
+@query(
+    "q_claim_selection",
+    f"""SELECT doc_id, 'any' AS kind FROM claimed WHERE {_BY_CLASS} AND claim_lang IS NOT NULL
+UNION ALL SELECT doc_id, 'primary' FROM claimed WHERE {_BY_CLASS} AND {_PRIMARY} AND claim_lang = 'en'
+UNION ALL SELECT doc_id, 'top' FROM claimed WHERE {_BY_CLASS} AND publication_number IN (FROM claim_chosen)""",
+    _PUBS, _CLAIMED.format(by_class=_BY_CLASS, stripped=_strip("text")),
+)
+def _(spark, sf):
+    """Claims in the own language (upper case, as text) or in English (as markup) for two of three publications."""
+    entry = lambda text_, language: F.array(F.struct(text_.alias("text"), language.alias("language")))
+    pubs = fx.publications(spark, sf).withColumns({
+        "claims_localized": F.when(F.col("doc_id") % 3 == 0, entry(F.lit("1. A thing."), F.upper("country_code"))),
+        "claims_localized_html": F.when(F.col("doc_id") % 3 == 1, entry(F.lit("<claim>1. A thing.</claim>"), F.lit("en"))),
+    })
+    any_ = selection.select_publications(pubs, require_any_claim=True).select("doc_id", F.lit("any").alias("kind"))
+    primary = selection.select_publications(pubs, primary_lang="en", min_primary_abstract_words=50, require_primary_claim=True)
+    top = selection.top_n_per_language(pubs, 5, require_claim=True)
+    return any_.unionByName(primary.select("doc_id", F.lit("primary").alias("kind"))).unionByName(top.select("doc_id", F.lit("top").alias("kind")))
+
+
 @query("q_select_publications", f"SELECT doc_id, array_to_string({_LANGS}, ',') AS languages FROM classes WHERE ({_BY_CLASS} OR {_HAS_MATCH}) AND {_PRIMARY} AND publication_date >= 20240103 AND len({_LANGS}) >= 2", _PUBS, fx.MATCH_SQL)
 def _(spark, sf):
     rows = selection.select_publications(
@@ -433,28 +460,87 @@ def _(spark, sf):
     return fx.qac(spark, sf).select("i", policy.length_and_format(F.col("question"), F.col("answer")).alias("good"))
 
 
-@query("q_embedding_neardup", """SELECT a.label, count(*) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.6 GROUP BY 1""")
+@query("q_embedding_neardup", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.vec_id, count(b.vec_id) AS links, least(a.vec_id, min(b.vec_id)) AS smallest
+FROM e a LEFT JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= CAST(0.4 AS DOUBLE) GROUP BY a.vec_id""")
+def _(spark, sf):
+    return quality.near_vectors(fx.read(spark, sf, "embeddings"), 0.4)
+
+
+@query("q_minhash_neardup")
 def _(spark, sf):
-    return quality.embedding_neighbours(fx.read(spark, sf, "embeddings"), 0.6)
+    """Tested against brute force: SQL has no hash that both engines share."""
+    return quality.minhash_near(fx.read(spark, sf, "documents"))
+
+
+_DISTINCT_WORDS = r"list_filter(list_distinct(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+')), lambda w: w <> '')"
+
 
+_WORDED = f"worded AS (SELECT q.i, {_DISTINCT_WORDS.format('q.answer')} AS a, {_DISTINCT_WORDS.format('c.context')} AS c FROM qac q JOIN corpus c ON c.id = q.corpus_id)"
 
-@query("q_language_tag")
+
+@query("q_answer_support", "SELECT i, CASE WHEN len(a) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_intersect(a, c)) AS DOUBLE) / len(a) END AS support FROM worded", fx.CORPUS_SQL, fx.QAC_SQL, _WORDED)
+def _(spark, sf):
+    docs = fx.corpus(spark, sf).select(F.col("id").alias("corpus_id"), "context")
+    return quality.answer_support(fx.qac(spark, sf).join(docs, "corpus_id")).select("i", "support")
+
+
+_TAGGED = ", ".join(
+    f"{{'n': len(list_filter(w, lambda x: x IN ({_QUOTED(v)}))), 'k': '{k}'}}" for k, v in quality.FREQUENT.items()
+)
+
+
+@query("q_language_tag", rf"""WITH w AS (SELECT doc_id, lang, string_split_regex(lower(text), '[^\p{{L}}]+') AS w FROM documents),
+best AS (SELECT doc_id, lang, list_sort([{_TAGGED}], 'DESC')[1] AS b FROM w)
+SELECT doc_id, lang, CASE WHEN b.n > 0 THEN b.k ELSE 'und' END AS tag FROM best""")
 def _(spark, sf):
     return quality.language_tag(fx.read(spark, sf, "documents")).select("doc_id", "lang", "tag")
 
 
+@query("q_template_questions", """SELECT id AS corpus_id, title AS entity, replace(t, '{}', title) AS question
+FROM corpus, (SELECT unnest(['What is {} used for?', 'How is {} made?']) AS t) WHERE trim(title) <> ''""", fx.CORPUS_SQL)
+def _(spark, sf):
+    entities = fx.corpus(spark, sf).select(F.col("id").alias("corpus_id"), F.col("title").alias("entity"))
+    return generation.template_questions(entities, ["What is {} used for?", "How is {} made?"])
+
+
 # Generation, with the offline provider.
 def _generated(spark, sf, languages):
     sample = sampling.stratified_sample(fx.corpus(spark, sf), 50).withColumn("index", F.col("ord"))
     return generation.generate(sample, languages=languages)
 
 
-@query("q_generate_qa")
+# The offline provider in SQL: a document's first sentences, at most three attempts with the same three checks.
+_ASKED = rf"""
+contexts AS (
+  SELECT ord AS index, id AS corpus_id, CASE WHEN coalesce(context, '') = '' THEN coalesce(title, '') ELSE context END AS c FROM sampled),
+sentences AS (
+  SELECT *, {_strip("left(c, 4000)")} AS body,
+    list_filter(string_split(regexp_replace({_strip("left(c, 4000)")}, '([.!?]){WS}+', '\1' || chr(0), 'g'), chr(0)), lambda x: len(string_split_regex({_strip("x")}, '{WS}+')) >= 3) AS s FROM contexts),
+answers AS (
+  SELECT *, unnest([1, 2]) AS attempt FROM sentences),
+asked AS (
+  SELECT *, coalesce(CASE WHEN attempt = 2 AND len(s) > 1 THEN s[2] ELSE s[1] END, body) AS answer FROM answers),
+worded AS (
+  SELECT *, 'How does the text explain ' || lower(array_to_string(list_filter(string_split_regex(regexp_replace(answer, '[^\p{{L}}\p{{N}}_' || '{WS}'[2:], '', 'g'), '{WS}+'), lambda x: x <> '')[1:6], ' ')) || '?' AS question FROM asked),
+checked AS (
+  SELECT *, CASE
+    WHEN length(regexp_replace(question || answer, '[^\x00-\x7f]', '', 'g')) < 0.8 * length(question || answer) THEN 'language check failed: not written in Latin letters'
+    WHEN answer = '' OR NOT contains(left(c, 5000), answer) THEN 'faithfulness failed: supporting text not in context'
+    WHEN {" OR ".join(f"contains(lower(question), '{p}')" for p in DOCUMENT_PHRASES)} OR {" OR ".join(f"starts_with(lower(question), '{p}')" for p in BROAD_OPENINGS)}
+    THEN 'question quality failed: weak-query-shape' END AS failure FROM worded),
+results AS (
+  SELECT index, corpus_id, arg_min(question, attempt) FILTER (failure IS NULL) AS question, arg_min(answer, attempt) FILTER (failure IS NULL) AS answer,
+    CASE WHEN any_value({_strip("c")}) = '' THEN 'skipped (empty context)' WHEN count(*) FILTER (failure IS NULL) > 0 THEN 'ok' ELSE 'skipped (' || arg_max(failure, attempt) || ')' END AS outcome
+  FROM checked GROUP BY index, corpus_id)"""
+
+
+@query("q_generate_qa", "SELECT index, corpus_id, CAST(CASE WHEN outcome = 'ok' THEN 1 ELSE 0 END AS INTEGER) AS pairs, CASE WHEN outcome = 'ok' THEN 'ok (other en + 0 translations)' ELSE outcome END AS status FROM results", fx.CORPUS_SQL, _HASHED, _STRATA, _ASKED)
 def _(spark, sf):
     return _generated(spark, sf, []).select("index", "corpus_id", F.size("rows").alias("pairs"), "status")
 
 
-@query("q_translate")
+@query("q_translate", """SELECT corpus_id, language, mark || question AS question, mark || answer AS answer
+FROM results, (VALUES ('en', ''), ('de', '[de] '), ('fr', '[fr] ')) t(language, mark) WHERE outcome = 'ok'""", fx.CORPUS_SQL, _HASHED, _STRATA, _ASKED)
 def _(spark, sf):
     return generation.pairs(_generated(spark, sf, ["de", "fr"]))
