@@ -166,6 +166,7 @@ def build_index(distinct: DataFrame, shard_rows: int | None = None) -> DataFrame
         shards = F.greatest(shards, F.least(F.lit(cores), F.ceil(F.col("n") / LEAST_ROWS)))
     # A row for each length of vectors.
     layout = distinct.groupBy(F.size("vector").alias("dims")).agg(F.count(F.lit(1)).alias("n")).select("dims", shards.cast("int").alias("shards"))
+    total = layout.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", ignore_index=True)
@@ -176,6 +177,8 @@ def build_index(distinct: DataFrame, shard_rows: int | None = None) -> DataFrame
     dealt = distinct.withColumn("dims", F.size("vector")).join(layout, "dims")
     dealt = dealt.select("dims", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int").alias("shard"), "rep", "vector")
     schema = "dims int, shard int, place long, rep long, vector array<double>, neighbours array<long>"
+    # A given number of partitions isn't coalesced: shards are small, but a task for each takes its time.
+    dealt = dealt.repartition(4 * max(int(total), cores), "dims", "shard")
     return save(dealt.groupBy("dims", "shard").applyInPandas(build, schema), "graph")
 
 
