@@ -111,14 +111,14 @@ FREQUENT = {"en": ["the", "and", "of", "that"], "fr": ["le", "et", "les", "des"]
 
 def language_tag(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with tag: the language whose frequent words the text has most of; und without any."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
+    worded = computed_once(docs, {"_words": F.split(F.lower(text), r"[^\p{L}]+")})
 
     def score(language: str, frequent: list[str]) -> Column:
-        return F.struct(F.size(F.filter(words, lambda w: w.isin(*frequent))).alias("n"), F.lit(language).alias("k"))
+        return F.struct(F.size(F.filter("_words", lambda w: w.isin(*frequent))).alias("n"), F.lit(language).alias("k"))
 
     scores = [score(k, v) for k, v in FREQUENT.items()]
     best = F.array_max(F.array(*scores))
-    return docs.withColumn("tag", F.when(best["n"] > 0, best["k"]).otherwise("und"))
+    return worded.withColumn("tag", F.when(best["n"] > 0, best["k"]).otherwise("und")).drop("_words")
 
 
 def first_turns(conversations: DataFrame) -> DataFrame:
