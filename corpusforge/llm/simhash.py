@@ -40,8 +40,8 @@ HUB_ROUNDS, HUB_NODES = 2, 64
 SIMILAR_BITS, SMALL_SET = 24, 32
 #: Nodes of a cell that are compared in one task, with as many others of it.
 CELL_TILE = 8192
-#: Shingles found so often in a SAMPLED-th of the documents come last in the order of prefixes, at most FREQUENT.
-SAMPLED, SAMPLED_TIMES, FREQUENT = 16, 8, 1 << 16
+#: Counters in either half of the table that orders the elements of sets: its size doesn't depend on the input.
+COUNTERS = 1 << 16
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -250,12 +250,28 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
 
 
-def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that a sample of docs (row, text) has often; they only order the sets, so a sample loses no pair."""
-    sample = _sets(docs.filter(F.pmod("row", F.lit(SAMPLED)) == 0), shingle)
-    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.filter(F.col("n") >= SAMPLED_TIMES).orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
-    return np.sort(np.array([r.s for r in rows], dtype="<i8").view("<u8"))
+def _places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's counter in either half."""
+    return tuple((shingles >> np.uint64(k) & np.uint64(COUNTERS - 1)).astype(np.int64) + k // 32 * COUNTERS for k in (0, 32))
+
+
+def _counted(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Occurrences in all texts of docs (row, text), by counter. The smaller of its two counters is at least what a shingle
+    has; it only orders the sets, so no pair is lost if others share them."""
+
+    def run(batches):
+        counts = np.zeros(2 * COUNTERS, dtype=np.int64)
+        for _, texts in text_blocks(batches):
+            for places in _places(_hashes(texts, shingle)[0]):
+                counts += np.bincount(places, minlength=2 * COUNTERS)
+        found = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["place", "n"])
+
+    # At most 2 * COUNTERS rows for a task and for the driver, whatever the input.
+    found = docs.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(2 * COUNTERS, dtype=np.int64)
+    counts[found["place"].to_numpy()] = found["n"].to_numpy()
+    return counts
 
 
 def _signatures(docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
@@ -264,9 +280,10 @@ def _signatures(docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
     node: a hash of the set of shingles; fingerprint: that of the set, each shingle once; size: its elements. prefix: its
     first elements, rare ones first, so many that two sets of this similarity share one of them.
     """
-    frequent = _frequent(docs, shingle)
+    shared = docs.sparkSession.sparkContext.broadcast(_counted(docs, shingle))
 
     def run(batches):
+        counts = shared.value
         for part, texts in text_blocks(batches):
             values, sizes = _hashes(texts, shingle)
             sets = [np.unique(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
@@ -274,9 +291,8 @@ def _signatures(docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
             bits = _majority(np.concatenate(sets), lengths).view("<i8")
             nodes, prefixes = [_hash(v.tobytes()) for v in sets], []
             for v in sets:
-                if len(frequent):
-                    common = np.isin(v, frequent)
-                    v = np.concatenate([v[~common], v[common]])
+                first, second = _places(v)
+                v = v[np.minimum(counts[first], counts[second]).argsort(kind="stable")]
                 prefixes.append(v[: len(v) - math.ceil(jaccard * len(v) - 1e-9) + 1])
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes).view("<i8")))

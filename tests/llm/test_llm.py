@@ -250,6 +250,17 @@ def test_pairs_of_distant_fingerprints_count(spark):
     assert sorted(r.doc_id for r in kept.collect()) == expected
 
 
+def test_counters_cover_all_texts(spark):
+    texts = [(i, f"the same six words every time {i}") for i in range(300)] + [(300, None), (301, ""), (302, "two words")]
+    rows = spark.createDataFrame(texts, "row long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    counts = simhash._counted(rows, 5)
+    halves = counts.reshape(2, -1).sum(axis=1)
+    assert halves.tolist() == [901, 901]  # three shingles of each of 300 texts, and a text of two words
+    often = np.array([xxhash.xxh64_intdigest("the same six words every", seed=42)], dtype="<u8")
+    assert all(counts[place[0]] >= 300 for place in simhash._places(often))
+    assert not simhash._counted(rows.limit(0), 5).any()
+
+
 def test_equal_fingerprints_are_no_proof(spark):
     run = " 0" * 600
     texts = [(i, " ".join(f"w{i}x{j}" for j in range(250)) + run) for i in range(3)]
