@@ -75,8 +75,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position")
+    mixed = mixing.taken_in_order(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position")
 
 
 SQL["op6_mixing"] = r"""

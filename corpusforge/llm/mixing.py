@@ -54,29 +54,41 @@ def sources_with_targets(sizes: DataFrame, weights: tuple = WEIGHTS, ramps: tupl
 
 def plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple = WEIGHTS, ramps: tuple = RAMPS, carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies, first_position (null if not taken),
-    offset and ramp; with carry also row, a struct of all input columns.
+    offset, ramp and slot, which no other row has; with carry also row, a struct of all input columns.
 
     Documents are taken whole, each floor(target / source_size) times; a prefix of the source's hash order is taken
     once more, up to the document whose middle passes the target. A null text has size 0, a null source is a source.
     A source of size 0 takes nothing. Order depends on id and size only, so reruns agree; rows that share both are
     interchangeable. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    row = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text_of(text)).alias("size"), *row)
+    rows, narrow, starts = _sized(docs, text, doc_id, source, weights, ramps)
+    return _planned(rows if carry else narrow, starts)
+
+
+def _sized(docs: DataFrame, text: str, doc_id: str, source: str, weights: tuple, ramps: tuple) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs with size, hash, range and row; the same without row, saved; where each range of a source starts, with the
+    source's target, saved."""
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text_of(text)).alias("size"), row)
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
-    rows = rows.withColumn("hash", hash60(key)).withColumn("range", F.shiftright("hash", 48).cast("int"))
-    # A key that isn't null, so that the window and the join are partitioned alike and rows with texts move once.
+    # Keys that can't be null: the window and the join are partitioned alike, so rows with texts move once, and the join has
+    # no null filter, which would count the words once more.
+    rows = rows.withColumn("hash", hash60(key)).withColumn("range", F.coalesce(F.shiftright("hash", 48).cast("int"), F.lit(0)))
     rows = rows.withColumn("from", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     narrow = save(rows.drop("row"), "sizes")
-    rows = rows if carry else narrow
     ranges = save(narrow.groupBy("from", "source", "range").agg(F.sum("size").alias("size")), "ranges")
     targets = sources_with_targets(ranges, weights, ramps)
     earlier = Window.partitionBy("from").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select("from", "source", "range", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
     starts = starts.join(targets.withColumnRenamed("source", "t"), F.expr("source <=> t")).drop("source", "t")
-    starts = save(starts, "starts")
-    within = Window.partitionBy("from", "range").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    return rows, narrow, save(starts, "starts")
+
+
+def _planned(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    row = ["row"] if "row" in rows.columns else []
+    within = Window.partitionBy("from", "range").orderBy("hash", "doc_id", "size")
+    inner = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.select("*", inner.alias("inner"), F.row_number().over(within).alias("place"))
     rows = rows.join(starts, ["from", "range"]).withColumn("offset", F.col("start") + F.col("inner"))
     passes = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size")))
     rows = rows.withColumn("passes", passes.cast("long"))
@@ -86,7 +98,7 @@ def plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: st
     first = F.when(F.col("copies") > 0, position(F.col("offset") + F.col("size") / 2, F.col("target"), F.col("ramp")))
     return rows.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
-        first.alias("first_position"), "offset", "ramp", *(["row"] if carry else []),
+        first.alias("first_position"), "offset", "ramp", F.struct("from", "range", "place").alias("slot"), *row,
     )
 
 
@@ -98,13 +110,29 @@ def position(words: Column, target: Column, ramp: Column) -> Column:
     return F.when(ramp == 0, share).otherwise((F.sqrt(flat * flat + 4 * ramp * share) - flat) / (2 * ramp))
 
 
+def in_order(planned: DataFrame) -> DataFrame:
+    """The rows of a plan, as often as they are taken, with copy (from 0) and position: range-sorted by position, then id
+    and copy."""
+    copies = planned.filter("copies > 0").withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    given = F.col("offset") + F.col("copy") * F.col("source_size") + F.col("size") / 2
+    return copies.withColumn("position", position(given, F.col("target"), F.col("ramp"))).orderBy("position", "doc_id", "copy")
+
+
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple = WEIGHTS, ramps: tuple = RAMPS) -> DataFrame:
     """The training order: docs' rows, as often as they are taken, range-sorted by position, then id and copy.
 
     Null, empty and wordless texts are never taken. Rows that share id and size are interchangeable in the order. All
     columns stay, whatever their names; an empty table gives no rows.
     """
-    planned = plan(docs, text, doc_id, source, weights, ramps, carry=True).filter("copies > 0")
-    copies = planned.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
-    given = F.col("offset") + F.col("copy") * F.col("source_size") + F.col("size") / 2
-    return copies.withColumn("position", position(given, F.col("target"), F.col("ramp"))).orderBy("position", "doc_id", "copy").select("row.*")
+    return in_order(plan(docs, text, doc_id, source, weights, ramps, carry=True)).select("row.*")
+
+
+def taken_in_order(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple = WEIGHTS, ramps: tuple = RAMPS) -> DataFrame:
+    """The rows of plan, but taken, copies and first_position (null if not taken) are read back from the mix: its texts are
+    sorted into training order, their words counted and written in that order. Rows come in the order in which the mix first
+    has them, those not taken last."""
+    rows, narrow, starts = _sized(docs, text, doc_id, source, weights, ramps)
+    mixed = in_order(_planned(rows, starts)).select("slot", "position", word_count(text_of(f"row.{text}")).alias("words"))
+    found = save(mixed, "order").groupBy("slot").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("copies"), F.min("position").alias("first_position"))
+    planned = _planned(narrow, starts).drop("taken", "copies", "first_position")
+    return planned.join(found, "slot", "left").fillna(0, ["taken", "copies"]).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")

@@ -592,6 +592,35 @@ def test_mix_is_in_the_order_of_positions(spark, docs):
     assert mixing.mix(table).columns == table.columns
 
 
+def test_mixing_query_reads_the_sorted_mix(spark, tmp_path, monkeypatch):
+    from corpusforge.llm import catalogue
+
+    rows = [(i, None if i % 50 == 2 else "w " * (i * 7 % 13), f"s{i % 3}" if i % 11 else None) for i in range(400)]
+    rows += [(8, "a b", "s1"), (8, "a b", "s1"), (8, "c d", "s1"), (8, " ", "s1"), (8, None, "s1"), (None, "x y", None), (None, "x y", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.op6_mixing(spark, str(tmp_path)).collect()
+    at = [2.0 if r.first_position is None else r.first_position for r in found]
+    assert at == sorted(at) and len(set(at)) > 200 and at[-1] == 2
+    # Rows that share id and size are interchangeable.
+    size = lambda t: len((t or "").split())
+    expected, given, first = Counter(), Counter(), {}
+    for (d, t, _), p in brute_mix(rows):
+        expected[d, size(t)] += 1
+        first.setdefault((d, size(t)), p)
+    for r in found:
+        given[r.doc_id, r.size] += r.copies
+        assert r.taken == r.copies * r.size and (r.first_position is None) == (r.copies == 0)
+        if r.copies:
+            assert r.first_position >= first[r.doc_id, r.size] - 1e-9
+    assert +given == expected and Counter((r.doc_id, r.size) for r in found) == Counter((d, size(t)) for d, t, _ in rows)
+    for key, p in first.items():
+        assert min(r.first_position for r in found if (r.doc_id, r.size) == key and r.copies) == pytest.approx(p)
+    whole = mixing.in_order
+    monkeypatch.setattr(mixing, "in_order", lambda planned: whole(planned).filter("doc_id <> 5"))
+    less = {r.doc_id: r for r in catalogue.op6_mixing(spark, str(tmp_path)).collect()}
+    assert expected[5, 9] > 0 and (less[5].taken, less[5].copies, less[5].first_position) == (0, 0, None) and less[6].copies > 0
+
+
 def small_corpus():
     rng = random.Random(12)
     words = {"en": "the and with that this from have were which their".split(), "de": "der und mit dass diese von haben waren welche ihre".split()}
